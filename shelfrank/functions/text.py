@@ -70,11 +70,21 @@ _FREQUENT_MULTI = "…™½¼¾ﬁﬂ"
 _MAYBE_MULTI = r"[¼½¾ĲĳĿŀŉ]|[^\x00-\x{17F}]"
 
 
+def _constant_array(values: list[str]) -> Column:
+    """A folded array literal from one string; far cheaper to build than many literals."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
+
+
+def _constant_map(entries: dict[str, str]) -> Column:
+    pairs = "\x01".join(f"{k}\x02{v}" for k, v in entries.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
+
+
 def _hangul_to_jamo(char: Column) -> Column:
     index = F.ascii(char) - F.lit(_HANGUL_FIRST)
-    lead = F.array(*[F.lit(chr(0x1100 + i)) for i in range(19)])
-    vowel = F.array(*[F.lit(chr(0x1161 + i)) for i in range(21)])
-    tail = F.array(F.lit(""), *[F.lit(chr(0x11A7 + i)) for i in range(1, 28)])
+    lead = _constant_array([chr(0x1100 + i) for i in range(19)])
+    vowel = _constant_array([chr(0x1161 + i) for i in range(21)])
+    tail = _constant_array(["", *[chr(0x11A7 + i) for i in range(1, 28)]])
     return F.concat(
         F.get(lead, F.floor(index / 588).cast("int")),
         F.get(vowel, F.floor((index % 588) / 28).cast("int")),
@@ -93,7 +103,7 @@ def strip_accents(col: Column) -> Column:
     for char in _FREQUENT_MULTI:
         prepared = F.replace(prepared, F.lit(char), F.lit(multi[char]))
     rare = {c: p for c, p in multi.items() if c not in _FREQUENT_MULTI}
-    rare_map = F.create_map(*[F.lit(x) for pair in rare.items() for x in pair])
+    rare_map = _constant_map(rare)
     rare_class = f"[{_char_class(rare)}\\x{{AC00}}-\\x{{D7A3}}]"
     per_char = F.array_join(
         F.transform(
@@ -246,10 +256,6 @@ def query_tokens(col: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def _string_map(entries: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
-
-
 def _has_plural_s(token: Column) -> Column:
     return token.endswith("s") & (F.length(token) > 3)
 
@@ -264,7 +270,7 @@ def expand_query(col: Column, expansions: dict[str, str]) -> Column:
     def grow(token: Column) -> Column:
         variants = [token, F.when(_has_plural_s(token), _drop_last(token))]
         if expansions:
-            variants.append(F.try_element_at(_string_map(expansions), token))
+            variants.append(F.try_element_at(_constant_map(expansions), token))
         return F.array_compact(F.array(*variants))
 
     return F.array_join(F.flatten(F.transform(query_tokens(col), grow)), " ")
