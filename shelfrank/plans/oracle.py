@@ -54,10 +54,20 @@ def tag_key(x: str) -> str:
     return collapse(f"regexp_replace(lower(strip_accents({x})), '[-_/]+', ' ', 'g')")
 
 
-def labels(text: str, rules: dict[str, list[str]]) -> str:
+def unicode_borders(pattern: str) -> str:
+    r"""RE2's \b knows ASCII only; outer word borders spelled out."""
+    outside = "[^\\p{L}\\p{N}_]"
+    if pattern.startswith(r"\b"):
+        pattern = f"(?:^|{outside})" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + f"(?:$|{outside})"
+    return pattern
+
+
+def labels(text: str, rules: dict[str, list[str]], borders=lambda p: p) -> str:
     cases = []
     for label, patterns in rules.items():
-        alternatives = "|".join(f"(?:{p})" for p in patterns)
+        alternatives = "|".join(f"(?:{borders(p)})" for p in patterns)
         cases.append(f"CASE WHEN regexp_matches({text}, {q(alternatives)}) THEN {q(label)} END")
     return f"list_filter([{', '.join(cases)}], lambda lb: lb IS NOT NULL)"
 
@@ -131,7 +141,7 @@ def sql(final: str) -> str:
                 visit_one(name)
 
     def visit_one(name: str) -> None:
-        visit(CTES[name].replace(name, "") if False else CTES[name])
+        visit(CTES[name])
         if name not in needed:
             needed.append(name)
 
