@@ -167,7 +167,7 @@ def reason_codes(
     closing = (
         F.lit("community_sentiment")
         if has_sentiment
-        else F.format_string("approval: %.0f%%", ratio)
+        else F.format_string("approval: %.0f%%", F.bround(ratio, 0))  # ties to even
     )
     return F.slice(F.array_compact(F.array(by_query, by_reference, generic, closing)), 1, limit)
 

@@ -368,3 +368,16 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rou
 
 
 CTES["rec_v"] = ranked("scored_v", 10)
+
+
+def with_requests(text: str, requests: str, before: tuple[str, ...]) -> str:
+    """A composed query with another request table in place of ``requests_v``."""
+    old = f"requests_v AS MATERIALIZED (\n{CTES['requests_v']}\n)"
+    assert old in text
+    extra = [n for n in before if f"{n} AS MATERIALIZED" not in text]
+    new = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in extra)
+    body = text.replace(old, f"{new},\nrequests_v AS MATERIALIZED (\n{requests}\n)")
+    catalog = f"catalog_v AS MATERIALIZED (\n{CTES['catalog_v']}\n)"
+    # the cases read the catalogue, so it comes first
+    body = body.replace(catalog + ",\n", "")
+    return body.replace("WITH ", f"WITH {catalog},\n", 1)
