@@ -63,6 +63,13 @@ def _char_class(chars) -> str:
     )
 
 
+@lru_cache(maxsize=1)
+def _rare_multi() -> tuple[dict[str, str], str]:
+    _, _, multi = _decompositions()
+    rare = {c: p for c, p in multi.items() if c not in _FREQUENT_MULTI}
+    return rare, f"[{_char_class(rare)}\\x{{AC00}}-\\x{{D7A3}}]"
+
+
 # Multi-char cases frequent in prose; handled by plain replaces before the rare-char path.
 _FREQUENT_MULTI = "…™½¼¾ﬁﬂ"
 # A quick look (few ranges) that finds every row the one-to-one table cannot serve:
@@ -102,9 +109,8 @@ def strip_accents(col: Column) -> Column:
     prepared = col
     for char in _FREQUENT_MULTI:
         prepared = F.replace(prepared, F.lit(char), F.lit(multi[char]))
-    rare = {c: p for c, p in multi.items() if c not in _FREQUENT_MULTI}
+    rare, rare_class = _rare_multi()
     rare_map = _constant_map(rare)
-    rare_class = f"[{_char_class(rare)}\\x{{AC00}}-\\x{{D7A3}}]"
     per_char = F.array_join(
         F.transform(
             F.split(prepared, ""),

@@ -39,13 +39,17 @@ KINDS = ("content", "opinion")
 MAX_FEATURES = 30_000
 INDEX_VERSION = "1"
 
+# About one item in this many lies in the probe part of the postings table. Rankings
+# read it first for a threshold; what they return always comes from all parts.
+PROBE_SHARE = 8
+
 # A vocabulary this large still broadcasts; beyond it the join shuffles.
 BROADCAST_TERMS = 400_000
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings``: item_id, term, tf_*, w_*; ``vocab``: kind, term, df, ctf, idf."""
+    """``postings``: item_id, term, tf_*, w_*, probe; ``vocab``: kind, term, df, ctf, idf."""
 
     postings: DataFrame
     vocab: DataFrame
@@ -70,10 +74,14 @@ def text_or_blank(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def _keys(df: DataFrame) -> list[str]:
+    return ["item_id", "probe"] if "probe" in df.columns else ["item_id"]
+
+
 def text_features(catalog: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Text fields without NULLs plus cleaned tags and inferred hints."""
     names = ("title", "genres", "tags", "description", "review_keywords")
-    base = catalog.select("item_id", *[text_or_blank(catalog, n).alias(n) for n in names])
+    base = catalog.select(*_keys(catalog), *[text_or_blank(catalog, n).alias(n) for n in names])
     hints = X.infer_hints(F.col("hint_text"), lexicon.hint_rules, lexicon.hint_combos)
     return (
         base.withColumn("hint_text", X.hint_text(*[F.col(n) for n in names[:4]]))
@@ -122,8 +130,9 @@ def count_terms(features: DataFrame, lexicon: Lexicon, low: int = 1, high: int =
     and shared; only the short fields and the borders differ.
     """
     names = sorted({n for n, _ in CONTENT_RECIPE + OPINION_RECIPE})
+    keys = _keys(features)
     tokens = features.select(
-        "item_id",
+        *keys,
         *[X.tokenize(F.col(n), lexicon.index_stop_words).alias(f"tok_{n}") for n in names],
     )
     recipes = {"content": CONTENT_RECIPE, "opinion": OPINION_RECIPE}
@@ -152,8 +161,8 @@ def count_terms(features: DataFrame, lexicon: Lexicon, low: int = 1, high: int =
             for k, r in recipes.items()
         ]
     return (
-        tokens.select("item_id", F.explode(F.concat(*grams)).alias("g"))
-        .groupBy("item_id", F.col("g.term").alias("term"))
+        tokens.select(*keys, F.explode(F.concat(*grams)).alias("g"))
+        .groupBy(*keys, F.col("g.term").alias("term"))
         .agg(
             F.sum("g.c").cast("int").alias("tf_content"),
             F.sum("g.o").cast("int").alias("tf_opinion"),
@@ -211,7 +220,9 @@ def weigh(counts: DataFrame, vocab: DataFrame, max_features: int = MAX_FEATURES)
             for k in KINDS
         }
     )
-    return out.select("item_id", "term", "tf_content", "tf_opinion", "w_content", "w_opinion")
+    return out.select(
+        *_keys(counts), "term", "tf_content", "tf_opinion", "w_content", "w_opinion"
+    )
 
 
 def fit(
@@ -220,18 +231,24 @@ def fit(
     max_features: int = MAX_FEATURES,
     min_df: int = 1,
     ngram_range: tuple[int, int] = (1, 2),
+    probe: Column | None = None,
 ) -> TextIndex:
-    """Build both indexes and leave them in the shared folder, bucketed by item."""
+    """Build both indexes and leave them in the shared folder, bucketed by item.
+
+    ``probe`` marks the items of the probe part, best those likely to rank high.
+    """
     spark = catalog.sparkSession
     low, high = ngram_range
     buckets = parallelism(spark)
-    placed = catalog.repartition(buckets, "item_id")
+    if probe is None:
+        probe = F.pmod(F.xxhash64("item_id"), F.lit(PROBE_SHARE)) == 0
+    placed = catalog.withColumn("probe", probe).repartition(buckets, "item_id")
     counts = count_terms(text_features(placed, lexicon), lexicon, low, high)
     counts = write_bucketed(counts, "counts", "item_id", buckets, "item_id")
     n_items = catalog.count()
     vocab = write_parquet(vocabulary(counts, n_items, max_features, min_df).coalesce(1), "vocab")
     postings = weigh(counts, vocab, max_features)
-    postings = write_bucketed(postings, "postings", "item_id", buckets, "term")
+    postings = write_bucketed(postings, "postings", "item_id", buckets, "term", "probe")
     return TextIndex(postings, vocab, n_items, lexicon, low, high)
 
 
@@ -357,7 +374,7 @@ def load_if_valid(
         return None
     buckets = parallelism(spark)
     postings = spark.read.parquet(f"{path}/postings").repartition(buckets, "item_id")
-    postings = write_bucketed(postings, "postings", "item_id", buckets, "term")
+    postings = write_bucketed(postings, "postings", "item_id", buckets, "term", "probe")
     n_items = meta.first()["n_items"]
     return TextIndex(postings, spark.read.parquet(f"{path}/vocab"), n_items, lexicon)
 

@@ -6,9 +6,12 @@ semantic) share. Hence the top k lie in
 
     items with a matching term  +  the k best items by that share alone.
 
-Coverage needs the item's whole text, so it is computed late: it scales the
-opinion score by 0.35..1, which bounds every candidate's score from both sides,
-and only candidates whose upper bound reaches the k-th best lower bound are read.
+Coverage needs the item's whole text, so it is computed late. It scales the opinion
+score by 0.35..1, which bounds every candidate's score from both sides. The probe
+part of the postings (about the best eighth by quality) is ranked first: the k-th best
+exact score found there is a floor for the k-th best of all. Then all postings are
+matched, and only candidates whose upper bound reaches the floor have their texts
+read. The floor only saves work; no candidate that could be listed is dropped.
 """
 
 from __future__ import annotations
@@ -23,10 +26,21 @@ from shelfrank.functions.lexicon import Lexicon
 from shelfrank.operators import index as I
 from shelfrank.operators import scoring as S
 from shelfrank.operators import semantic as V
-from shelfrank.runtime import broadcast_if_small, fits, parallelism, write_bucketed, write_parquet
+from shelfrank.runtime import (
+    BROADCAST_ROWS,
+    broadcast_if_small,
+    fits,
+    parallelism,
+    write_bucketed,
+    write_parquet,
+)
 
 # Share of the opinion score that does not depend on coverage.
 COVERAGE_FLOOR, COVERAGE_SHARE = 0.35, 0.65
+# Probe candidates scored exactly per wanted result.
+PROBE_DEPTH = 4
+# Below this many matching postings all candidates are scored at once.
+PROBE_FROM_ROWS = 2_000_000
 SEMANTIC_TRIAL_WEIGHTS = S.Weights(content=0.35, semantic=0.35, opinion=0.15, quality=0.15)
 
 ITEM_NUMBERS = [
@@ -63,7 +77,7 @@ def item_table(catalog: DataFrame, stats: S.SentimentStats | None) -> DataFrame:
             "quality_score": S.quality(stats),
             "searchable": S.searchable_text(catalog),
         }
-    )
+    ).withColumn("words", S.distinct_words(F.col("searchable")))
 
 
 def build_model(
@@ -74,7 +88,11 @@ def build_model(
     stats = S.sentiment_stats(catalog)
     items = item_table(catalog.repartition(buckets, "item_id"), stats)
     items = write_bucketed(items, "items", "item_id", buckets, "item_id")
-    return RankModel(items, I.fit(catalog, lexicon, **fit_options), stats, vectors)
+    cut = items.agg(
+        F.percentile_approx("quality_score", 1 - 1 / I.PROBE_SHARE, 1_000)
+    ).first()[0]
+    index = I.fit(catalog, lexicon, probe=S.quality(stats) >= F.lit(cut), **fit_options)
+    return RankModel(items, index, stats, vectors)
 
 
 # ---------------------------------------------------------------- requests
@@ -113,16 +131,20 @@ def request_terms(model: RankModel, requests: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- candidates
 
 
-def matched_pairs(model: RankModel, terms: DataFrame, own: DataFrame) -> DataFrame:
+def matched_pairs(
+    model: RankModel, terms: DataFrame, own: DataFrame, small: bool, probe: bool = False
+) -> DataFrame:
     """(request_id, item_id, content_score, opinion_raw) of items sharing a term."""
     zero = F.lit(0.0)
+    postings = model.index.postings
     pairs = S.match_scores(
         terms,
-        model.index.postings,
+        postings.where("probe") if probe else postings,
         {
             "content_score": F.sum(F.coalesce(F.col("qc") * F.col("w_content"), zero)),
             "opinion_raw": F.sum(F.coalesce(F.col("qo") * F.col("w_opinion"), zero)),
         },
+        small,
     )
     pairs = pairs.where((F.col("content_score") > 0) | (F.col("opinion_raw") > 0))
     marked = own.withColumn("own", F.lit(True))
@@ -217,8 +239,9 @@ def recommend(
 
     shown = model.items if keep is None else model.items.where(keep)
     numbers = shown.select(*ITEM_NUMBERS)
-    pairs = matched_pairs(model, terms, own).join(numbers, "item_id")
-
+    load = terms.agg(F.count("*").alias("n"), F.sum("df").alias("rows")).first()
+    terms_small = load["n"] <= BROADCAST_ROWS
+    vec = None
     if model.semantic_active:
         asked = V.select_vectors(
             req.select("request_id", "has_query", "has_references", "reference_ids",
@@ -227,52 +250,58 @@ def recommend(
         )
         asked = write_parquet(asked.withColumnRenamed("reference_ids", "own_ids"), "asked")
         vec = mark(asked.select("request_id", F.col("vector").alias("request_vector")))
+
+    def bounded(probe: bool) -> DataFrame:
+        """Matched pairs with the least and the highest score they can have."""
+        pairs = matched_pairs(model, terms, own, terms_small, probe).join(numbers, "item_id")
+        if vec is None:
+            pairs = pairs.withColumn("semantic_score", F.lit(0.0))
+        else:
+            pairs = _add_semantic(pairs, model, vec, own)
+        top_factor = F.when(F.col("has_concepts"), 1.0).otherwise(COVERAGE_FLOOR)
+        return pairs.join(shares, "request_id").withColumns(
+            {
+                "low": _score(F.col("opinion_raw") * COVERAGE_FLOOR),
+                "high": _score(F.col("opinion_raw") * top_factor),
+            }
+        )
+
+    signals = ["content_score", "opinion_raw", "semantic_score"]
+    slim = ["request_id", "item_id", *signals]
+    candidates = bounded(False)
+    if (load["rows"] or 0) > PROBE_FROM_ROWS:
+        first = _best(bounded(True), ["request_id"], "low", PROBE_DEPTH * k, by_reviews)
+        probed = finish_scores(model, first.select(*slim), req, mark)
+        floor = write_parquet(_kth_best(probed, k), "floor")
+        least = F.coalesce(F.round("floor", S.RANK_DIGITS), F.lit(-10.0))
+        candidates = candidates.join(mark(floor), "request_id", "left").where(
+            F.round("high", S.RANK_DIGITS) >= least
+        )
+
+    if vec is None:
+        fill = quality_fill(shown, shares, k, by_reviews)
+        fill = fill.withColumn("semantic_score", F.lit(0.0))
+    else:
         dense_items = shown.select(*ITEM_NUMBERS).join(model.vectors, "item_id", "left")
         fill = V.dense_top_k(dense_items, asked, k, by_reviews).select("request_id", "item_id")
-        fill = fill.join(numbers, "item_id").join(shares, "request_id")
-        pairs = _add_semantic(pairs, model, vec, own)
         fill = _add_semantic(fill, model, vec, own)
-    else:
-        fill = quality_fill(shown, shares, k, by_reviews)
-        pairs = pairs.withColumn("semantic_score", F.lit(0.0))
-        fill = fill.withColumn("semantic_score", F.lit(0.0))
     fill = fill.withColumns({"content_score": F.lit(0.0), "opinion_raw": F.lit(0.0)})
-
-    # Bounds: coverage moves the opinion factor between its floor and 1.
-    top_factor = F.when(F.col("has_concepts"), 1.0).otherwise(COVERAGE_FLOOR)
-    bounded = pairs.join(shares, "request_id").withColumns(
-        {
-            "low": _score(F.col("opinion_raw") * COVERAGE_FLOOR),
-            "high": _score(F.col("opinion_raw") * top_factor),
-        }
-    )
-    floor = _kth_best(bounded.select("request_id", "low"), k)
-    candidates = bounded.join(mark(floor), "request_id", "left").where(
-        F.round("high", S.RANK_DIGITS) >= F.coalesce(F.round("floor", S.RANK_DIGITS), F.lit(-10.0))
-    )
-    signals = ["content_score", "opinion_raw", "semantic_score"]
-    both = candidates.select("request_id", "item_id", *signals).unionByName(
-        fill.select("request_id", "item_id", *signals)
-    )
-    merged = both.groupBy("request_id", "item_id").agg(
-        F.max("content_score").alias("content_score"),
-        F.max("opinion_raw").alias("opinion_raw"),
-        # equal on both sides, so any of the two will do
-        F.max("semantic_score").alias("semantic_score"),
-    )
+    merged = candidates.select(*slim).unionByName(fill.select(*slim))
+    # A fill row repeats a matched pair with zeros; its semantic score is the same.
+    merged = merged.groupBy("request_id", "item_id").agg(*[F.max(c).alias(c) for c in signals])
     scored = finish_scores(model, merged, req, mark)
     return _best(scored, ["request_id"], "score", k, by_reviews)
 
 
 def _kth_best(rows: DataFrame, k: int) -> DataFrame:
-    ranked = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("low")))
-    top = rows.withColumn("r", ranked).where(F.col("r") <= k)
-    return top.where(F.col("r") == k).select("request_id", F.col("low").alias("floor"))
+    ranked = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score")))
+    top = rows.select("request_id", "score").withColumn("r", ranked).where(F.col("r") <= k)
+    return top.where(F.col("r") == k).select("request_id", F.col("score").alias("floor"))
 
 
 def finish_scores(model: RankModel, pairs: DataFrame, req: DataFrame, mark) -> DataFrame:
     """Read the texts of the remaining pairs and complete their scores."""
-    items = model.items.select(*ITEM_NUMBERS, "title", "searchable")
+    items = model.items.select(*ITEM_NUMBERS, "title", "searchable", "words")
     facts = mark(
         req.select(
             "request_id",
@@ -286,7 +315,8 @@ def finish_scores(model: RankModel, pairs: DataFrame, req: DataFrame, mark) -> D
     factor = COVERAGE_FLOOR + COVERAGE_SHARE * F.col("query_coverage_score")
     return (
         joined.withColumn(
-            "query_coverage_score", S.coverage(F.col("searchable"), F.col("concepts"))
+            "query_coverage_score",
+            S.coverage(F.col("searchable"), F.col("concepts"), F.col("words")),
         )
         .withColumn(
             "opinion_score",
@@ -294,7 +324,7 @@ def finish_scores(model: RankModel, pairs: DataFrame, req: DataFrame, mark) -> D
         )
         .withColumn("text_search_score", F.col("opinion_score"))
         .withColumn("score", _score(F.col("opinion_score")))
-        .drop("searchable", "concepts", "opinion_raw")
+        .drop("searchable", "words", "concepts", "opinion_raw")
     )
 
 
@@ -306,7 +336,9 @@ def score_matches(
     req = write_parquet(prepare_requests(sparse, requests, weights), "requests")
     terms = write_parquet(request_terms(sparse, req), "terms")
     own = broadcast_if_small(S.request_references(req).distinct())
-    pairs = matched_pairs(sparse, terms, own).withColumn("semantic_score", F.lit(0.0))
+    pairs = matched_pairs(sparse, terms, own, fits(terms)).withColumn(
+        "semantic_score", F.lit(0.0)
+    )
     mark = F.broadcast if fits(req) else (lambda df: df)
     return finish_scores(sparse, pairs, req, mark)
 

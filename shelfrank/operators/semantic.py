@@ -6,10 +6,12 @@ only its k best items per request while NumPy multiplies whole Arrow batches.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from shelfrank.functions import text as X
 from shelfrank.operators.index import index_metadata, is_valid
 from shelfrank.runtime import fits
 
+# Block functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RANK_DIGITS = 9
 # Requests whose vectors every Python worker can hold (d = 1024: 32 MB).
 BROADCAST_REQUESTS = 4_096

@@ -42,7 +42,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-def write_bucketed(df: DataFrame, label: str, key: str, buckets: int, sort: str) -> DataFrame:
+def write_bucketed(
+    df: DataFrame, label: str, key: str, buckets: int, sort: str, part: str | None = None
+) -> DataFrame:
     """Write ``df`` as a parquet table bucketed by ``key`` in the shared folder.
 
     ``df`` should already be hash-partitioned by ``key`` into ``buckets`` so that
@@ -50,9 +52,11 @@ def write_bucketed(df: DataFrame, label: str, key: str, buckets: int, sort: str)
     """
     spark = df.sparkSession
     name = f"shelfrank_{label}_{uuid.uuid4().hex[:12]}"
+    writer = df.write.format("parquet")
+    if part:
+        writer = writer.partitionBy(part)
     (
-        df.write.format("parquet")
-        .bucketBy(buckets, key)
+        writer.bucketBy(buckets, key)
         .sortBy(sort)
         .option("path", f"{shared_dir(spark)}/{name}")
         .saveAsTable(name)
