@@ -185,9 +185,10 @@ class BlockTopK:
     def rows(self) -> Iterator[pd.DataFrame]:
         for rid, best in zip(self.ids, self.best):
             if best is not None and len(best):
-                yield pd.DataFrame(
+                frame = pd.DataFrame(
                     {"request_id": rid, "item_id": best["item_id"], "semantic_score": best["sem"]}
                 )
+                yield frame.astype({"request_id": object, "item_id": object})
 
 
 def dense_top_k(
@@ -239,7 +240,9 @@ def grid_top_k(
 
     def cell(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or block.empty:
-            return pd.DataFrame({"request_id": [], "item_id": [], "semantic_score": []})
+            return pd.DataFrame(
+                {"request_id": [], "item_id": [], "semantic_score": []}, dtype=object
+            )
         top = BlockTopK(asked, k, by_reviews)
         top.add(block)
         return pd.concat(list(top.rows()), ignore_index=True)
