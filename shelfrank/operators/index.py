@@ -232,18 +232,22 @@ def fit(
     min_df: int = 1,
     ngram_range: tuple[int, int] = (1, 2),
     probe: Column | None = None,
+    placed: bool = False,
 ) -> TextIndex:
     """Build both indexes and leave them in the shared folder, bucketed by item.
 
-    ``probe`` marks the items of the probe part, best those likely to rank high.
+    ``probe`` marks the items of the probe part, best those likely to rank high;
+    ``placed`` says that the catalogue is a table bucketed by item already.
     """
     spark = catalog.sparkSession
     low, high = ngram_range
     buckets = parallelism(spark)
     if probe is None:
         probe = F.pmod(F.xxhash64("item_id"), F.lit(PROBE_SHARE)) == 0
-    placed = catalog.withColumn("probe", probe).repartition(buckets, "item_id")
-    counts = count_terms(text_features(placed, lexicon), lexicon, low, high)
+    rows = catalog.withColumn("probe", probe)
+    if not placed:
+        rows = rows.repartition(buckets, "item_id")
+    counts = count_terms(text_features(rows, lexicon), lexicon, low, high)
     counts = write_bucketed(counts, "counts", "item_id", buckets, "item_id")
     n_items = catalog.count()
     vocab = write_parquet(vocabulary(counts, n_items, max_features, min_df).coalesce(1), "vocab")

@@ -83,7 +83,11 @@ def item_table(catalog: DataFrame, stats: S.SentimentStats | None) -> DataFrame:
 def build_model(
     catalog: DataFrame, lexicon: Lexicon, vectors: DataFrame | None = None, **fit_options
 ) -> RankModel:
-    """Fit the index and write the item table beside it, bucketed alike."""
+    """Write the item table bucketed by item, then fit the index from it.
+
+    The source is read for the statistics and once more for the table; the index
+    reads the table, already placed by item, and shuffles nothing.
+    """
     buckets = parallelism(catalog.sparkSession)
     stats = S.sentiment_stats(catalog)
     items = item_table(catalog.repartition(buckets, "item_id"), stats)
@@ -91,7 +95,8 @@ def build_model(
     cut = items.agg(
         F.percentile_approx("quality_score", 1 - 1 / I.PROBE_SHARE, 1_000)
     ).first()[0]
-    index = I.fit(catalog, lexicon, probe=S.quality(stats) >= F.lit(cut), **fit_options)
+    probe = F.col("quality_score") >= F.lit(cut)
+    index = I.fit(items, lexicon, probe=probe, placed=True, **fit_options)
     return RankModel(items, index, stats, vectors)
 
 
@@ -253,7 +258,9 @@ def recommend(
 
     def bounded(probe: bool) -> DataFrame:
         """Matched pairs with the least and the highest score they can have."""
-        pairs = matched_pairs(model, terms, own, terms_small, probe).join(numbers, "item_id")
+        # Both sides are bucketed by item; hashing the items spares sorting the pairs.
+        pairs = matched_pairs(model, terms, own, terms_small, probe)
+        pairs = pairs.join(numbers.hint("shuffle_hash"), "item_id")
         if vec is None:
             pairs = pairs.withColumn("semantic_score", F.lit(0.0))
         else:

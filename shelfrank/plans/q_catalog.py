@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from shelfrank.functions import text as X
 from shelfrank.functions.lexicon import SHOP_BLOCKLIST, SHOP_PRIORITY
 from shelfrank.operators import etl as E
-from shelfrank.operators import training as G
 from shelfrank.plans import fixtures as D
 from shelfrank.plans import oracle as O
 from shelfrank.plans.oracle import CTES
@@ -111,14 +110,6 @@ def _(spark, d):
     return _row(IO.load_catalog(spark, path))
 
 
-@query("jsonl_round_trip", "S3 S4", None)
-def _(spark, d):
-    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex[:8]}"
-    rows = G.instruction_rows(G.training_candidates(D.catalog(spark, d)))
-    IO.write_jsonl(rows, path)
-    return IO.read_jsonl(spark, path)
-
-
 @query(
     "source_tables", "S5",
     O.sql(
