@@ -68,7 +68,7 @@ SHOP = Lexicon(
     query_stop_words=[
         "the", "of", "to", "in", "and", "a", "de", "la", "en", "der", "is", "it", "on",
     ],
-    noisy_tags=["steam cloud", "src3", "brand#7", "controles parciais"],
+    noisy_tags=["steam cloud", "src3", "brand#7", "gift wrap"],
     hint_rules={
         "fasteners": [r"\bbolts?\b", r"\brods?\b"],
         "heavy tools": [r"\banvils?\b", r"\blarge plate\b"],

@@ -174,7 +174,7 @@ def exact_median(df: DataFrame, name: str) -> float | None:
     v = F.col(name)
     head = df.agg(
         F.count(v).alias("n"),
-        F.percentile_approx(v, [0.499, 0.501], 10_000).alias("fence"),
+        F.percentile_approx(v, [0.4998, 0.5002], 100_000).alias("fence"),
     ).first()
     if not head["n"]:
         return None
