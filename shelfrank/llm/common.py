@@ -55,7 +55,8 @@ def text_blocks(
     texts: list[bytes] = []
     size = 0
     for frame in frames:
-        meta = zip(*(frame.column(c).to_pylist() for c in columns), strict=True)
+        lists = [frame.column(c).to_pylist() for c in columns]
+        meta = zip(*lists, strict=True) if lists else [()] * frame.num_rows
         for row, value in zip(meta, frame.column(text), strict=True):
             data = value.as_buffer()
             data = b"" if data is None else data.to_pybytes()

@@ -79,3 +79,73 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfrank.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm import toxicity as X
+
+    docs = table(spark, sf_dir, "documents")
+    model = X.fit(docs, table(spark, sf_dir, "labels"))
+    return X.score(docs, model, ["doc_id"]).select(
+        "doc_id",
+        X.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= X.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+OP10_SQL = r"""
+WITH pages AS (
+  SELECT row_number() OVER () AS rn, doc_id, source, text, string_split(text, chr(10)) AS lines
+  FROM documents),
+contents AS (SELECT DISTINCT source, text, lines FROM pages WHERE text IS NOT NULL),
+totals AS (SELECT source, count(*) AS total FROM contents GROUP BY source),
+counts AS (
+  SELECT source, line, count(*) AS n FROM (
+    SELECT source, unnest(list_distinct(list_filter(
+      list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x <> ''))) AS line
+    FROM contents)
+  GROUP BY ALL HAVING count(*) >= 5),
+bad AS (SELECT counts.source, list(line) AS bad FROM counts JOIN totals ON counts.source IS NOT DISTINCT FROM totals.source
+        WHERE n > 0.05 * total GROUP BY ALL),
+cut AS (
+  SELECT doc_id, p.source, text, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []::VARCHAR[]),
+           trim(x, chr(32) || chr(9) || chr(13)))) AS kept
+  FROM pages p LEFT JOIN bad ON p.source IS NOT DISTINCT FROM bad.source)
+SELECT doc_id, source, array_to_string(kept, chr(10)) AS text,
+       coalesce(len(lines), 0)::BIGINT AS n_lines,
+       coalesce(len(lines) - len(kept), 0)::BIGINT AS n_dropped
+FROM cut
+"""
+
+
+@query("op10_line_dedup", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.line_dedup import drop_boilerplate
+
+    docs = table(spark, sf_dir, "documents")
+    return drop_boilerplate(docs).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS d
+           FROM pages),
+kept AS (SELECT d, max(page_id) AS k, count(*) AS c FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN c > 1 AND page_id <> k THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN c > 1 AND page_id <> k THEN k END AS refers_to
+FROM p LEFT JOIN kept ON p.d = kept.d AND n >= 1000
+"""
+
+
+@query("op3_warc", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.common import new_path
+    from shelfrank.llm.warc import read_warc, write_warc
+
+    folder = new_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
