@@ -149,3 +149,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(table(spark, sf_dir, "documents"))
+
+
+def packed_digest(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    from shelfrank.llm.packing import packed_sequences
+
+    packed = packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shelfrank.llm.common import new_path
+    from shelfrank.llm.token_files import read_tokens, write_tokens
+
+    folder = new_path(spark, "tokens")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer)
+    return read_tokens(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )

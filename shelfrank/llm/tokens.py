@@ -12,10 +12,25 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 # Entries of each of the two caches of a Python worker, about 200 bytes each.
 CACHE_ENTRIES = 400_000
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict = {}
+# One word of Latin letters: a single piece for either tokenizer, so its model alone decides.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_WORD_AND_STOP = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: printable ones stay."""
+    keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in keep]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = byte_letters()
 
 
 class Encoder:
@@ -24,73 +39,96 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        # Of the two kinds of files, those with word ends lower-case words and drop blanks.
+        self.word_ends = bool(self.tokenizer.model.end_of_word_suffix)
+        self.words = Tokenizer(self.tokenizer.model)
+        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of ``text``, without special tokens."""
-        parts = text.split(" ")
-        head = parts[0]
-        if len(parts) == 1:
-            return self.direct(text)
-        row = list(map(self.later.get, parts))
-        row[0] = self.first.get(head)
-        if None in row:
-            if not all(map(self.is_plain, parts[1:-1])) or not (head and not head[-1].isspace() and self.is_plain(parts[-1])):
-                # A blank beside other white space: cut only where both sides are not white.
-                parts = _SAFE_BLANK.split(text)
-                row = list(map(self.later.get, parts))
-                row[0] = self.first.get(parts[0])
-            self.learn([p for p, r in zip(parts[1:], row[1:], strict=True) if r is None])
-            if row[0] is None:
-                row[0] = self.first[parts[0]] = self.direct(parts[0])
-            row[1:] = map(self.later.__getitem__, parts[1:])
-            found = b"".join(row)
-            self.trim()
-            return found
-        return b"".join(row)
-
-    @staticmethod
-    def is_plain(part: str) -> bool:
-        return bool(part) and not part[0].isspace() and not part[-1].isspace()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, without special tokens."""
+        split = [t.split(" ") for t in texts]
+        known = self.chunks
+        new = set().union(*(parts[1:] for parts in split)).difference(known)
+        self.learn([c for c in new if is_plain(c)])
+        found = []
+        for text, parts in zip(texts, split, strict=True):
+            row = list(map(known.get, parts))
+            row[0] = self.direct(parts[0])
+            found.append(self.beside_white(text) if None in row else b"".join(row))
+        for cache in (self.chunks, self.pieces):
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
+        return found
+
+    def beside_white(self, text: str) -> bytes:
+        """Ids of a text with blanks beside white space, which stay inside their chunks."""
+        head, *rest = _SAFE_BLANK.split(text)
+        self.learn([p for p in set(rest).difference(self.chunks) if is_plain(p) and " " not in p])
+        return self.direct(head) + b"".join(
+            self.chunks[p] if p in self.chunks else self.direct(" " + p) for p in rest
+        )
 
     def direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, chunks: list[str]) -> None:
         """Puts the ids of ``chunks``, each after a blank, into the cache."""
-        cut = {c: self.cut(" " + c) for c in set(chunks)}
-        new = list({p for pieces in cut.values() for p in pieces if p not in self.pieces})
-        codes = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for piece, code in zip(new, codes, strict=True):
+        cut = {}
+        for chunk in chunks:
+            simple = _WORD_AND_STOP(chunk)
+            cut[chunk] = (" " + simple[1], simple[2]) if simple else pieces_of_chunk(" " + chunk)
+        new = {p for pieces in cut.values() for p in pieces}.difference(self.pieces)
+        new.discard("")
+        words, other = [], []
+        for piece in new:
+            (words if _WORD(piece) else other).append(piece)
+        self.learn_words(words)
+        codes = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        for piece, code in zip(other, codes, strict=True):
             self.pieces[piece] = array("I", code.ids).tobytes()
+        self.pieces[""] = b""
+        get = self.pieces.__getitem__
         for chunk, pieces in cut.items():
-            self.later[chunk] = b"".join(map(self.pieces.__getitem__, pieces))
-
-    @staticmethod
-    def cut(chunk: str) -> list[str]:
-        """Pieces at line ends inside a chunk and before a last full stop or comma."""
-        lines = chunk.split("\n")
-        if len(lines) > 1 and not all(
-            line and not line[-1].isspace() and (i == 0 or not line[0].isspace())
-            for i, line in enumerate(lines)
-        ):
-            return [chunk]
-        found = []
-        for i, line in enumerate(lines):
-            if i:
-                found.append("\n")
-            if len(line) > 2 and line[-1] in ".," and line[-2].isalpha() and line[-2] < "ɐ":
-                found += [line[:-1], line[-1]]
-            else:
-                found.append(line)
-        return found
+            self.chunks[chunk] = b"".join(map(get, pieces))
 
-    def trim(self) -> None:
-        for cache in (self.first, self.later, self.pieces):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
+    def learn_words(self, pieces: list[str]) -> None:
+        """All at once: the model takes words one by one if they are given apart."""
+        if not pieces:
+            return
+        text = "\n".join(pieces)
+        if self.word_ends:
+            text = text.replace(" ", "").lower()
+        letters = text.encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[0x0A])
+        found = self.words.encode(letters, is_pretokenized=True, add_special_tokens=False)
+        data = np.array(found.ids, "<u4").tobytes()
+        ends = 4 * np.searchsorted(np.array(found.word_ids), np.arange(len(pieces) + 1))
+        ends = ends.tolist()
+        for piece, a, b in zip(pieces, ends, ends[1:], strict=False):
+            self.pieces[piece] = data[a:b]
+
+
+def is_plain(part: str) -> bool:
+    return bool(part) and not part[0].isspace() and not part[-1].isspace()
+
+
+def pieces_of_chunk(chunk: str) -> list[str]:
+    """Pieces at line ends inside a chunk and before a last full stop or comma."""
+    lines = chunk.split("\n")
+    if len(lines) > 1 and not all(
+        line and not line[-1].isspace() and (i == 0 or not line[0].isspace())
+        for i, line in enumerate(lines)
+    ):
+        return [chunk]
+    found = []
+    for i, line in enumerate(lines):
+        if i:
+            found.append("\n")
+        if len(line) > 2 and line[-1] in ".," and _WORD(line[:-1]):
+            found += [line[:-1], line[-1]]
+        else:
+            found.append(line)
+    return found
 
 
 def encoder(path: str) -> Encoder:
