@@ -180,3 +180,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query("op8_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm import langid as L
+
+    docs = table(spark, sf_dir, "documents")
+    found = L.identify(docs, L.fit(docs))
+    return found.select("doc_id", L.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_nearest_neighbours")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.hnsw import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
