@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
@@ -37,6 +37,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(df: DataFrame) -> Column:
+    """A 96-bit key of a row's whole content: equal rows, and only they, share it."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return F.concat_ws("-", F.hex(F.xxhash64(*columns)), F.hex(F.hash(*columns)))
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of CPU-heavy exchanges, given explicitly so that they aren't merged by bytes."""
     return max(

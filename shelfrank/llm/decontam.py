@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import byte_set, hashed_words, saved, text_blocks
+from shelfrank.llm.common import byte_set, hashed_words, row_key, saved, text_blocks
 
 WINDOW = 13
 # Of a search pass; about 60 bytes each are broadcast.
 SLICE_WINDOWS = 200_000
+# Keys of contaminated rows (25 bytes) up to which they are broadcast.
+BROADCAST_KEYS = 200_000
 WORD = byte_set(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 INDEX = "docs array<{id}>, bounds binary, terms binary, counts binary, positions binary"
@@ -323,3 +325,14 @@ def contamination(
     found = search(build_index(docs, id_col), benchmark, window)
     flag = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return found.withColumnRenamed("doc", id_col).withColumn("contaminated", flag)
+
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that aren't ``contaminated``, with all their columns."""
+    keyed = docs.select(F.struct("*").alias("row"), row_key(docs).alias("key"), "text")
+    flagged = contamination(keyed, benchmark, window, "key").where("contaminated")
+    flagged = saved(flagged.select("key"), "contaminated")
+    if flagged.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        flagged = F.broadcast(flagged)
+    return keyed.join(flagged, "key", "left_anti").select("row.*")

@@ -70,32 +70,40 @@ def drop_boilerplate(
     text: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    counts: bool = True,
 ) -> DataFrame:
-    """``pages`` with boilerplate lines taken out of ``text``, and two counts.
+    """``pages`` with boilerplate lines taken out of ``text``.
 
-    Added: ``n_lines`` (blank ones too) and ``n_dropped``.
+    With ``counts``, ``n_lines`` (blank ones too) and ``n_dropped`` are added; columns of
+    these names give way.
     """
     lines = saved(boilerplate(pages, host, text, ratio, min_pages).select("host", "line"), "lines")
     # A host has at most (lines per page / ratio) of them, so an array holds them.
-    by_host = lines.groupBy(F.col("host").alias("_host")).agg(
-        F.collect_set("line").alias("_lines")
+    by_host = lines.groupBy(F.col("host").alias("lines_host")).agg(
+        F.collect_set("line").alias("bad")
     )
     if lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)
     kept = F.filter(
-        lines_of(F.col(text)),
-        lambda x: is_blank(x) | ~F.array_contains(F.col("_lines"), line_key(x)),
+        lines_of(F.col("row")[text]),
+        lambda x: is_blank(x) | ~F.array_contains(F.col("bad"), line_key(x)),
     )
-    own = [F.col(f"`{c}`") for c in pages.columns]
-    placed = pages.join(by_host, F.col(host).eqNullSafe(F.col("_host")), "left").select(
-        *own,
-        F.coalesce(F.size(lines_of(F.col(text))), F.lit(0)).cast("bigint").alias("_n"),
-        F.when(F.col("_lines").isNotNull(), kept).alias("_kept"),
+    # In a struct the pages' own columns can't clash with those needed here.
+    rows = pages.select(F.struct("*").alias("row"))
+    placed = rows.join(by_host, F.col("row")[host].eqNullSafe(F.col("lines_host")), "left").select(
+        "row",
+        F.coalesce(F.size(lines_of(F.col("row")[text])), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.when(F.col("bad").isNotNull(), kept).alias("kept"),
     )
-    dropped = F.when(F.col("_kept").isNotNull(), F.col("_n") - F.size("_kept"))
-    new_text = F.when(dropped > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))
+    dropped = F.coalesce(F.col("n_lines") - F.size("kept"), F.lit(0)).cast("bigint")
+    dropped = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(dropped)
+    new_text = F.when(dropped > 0, F.array_join("kept", "\n")).otherwise(F.col("row")[text])
+    added = {"n_lines": F.greatest("n_lines", F.lit(0)), "n_dropped": dropped} if counts else {}
     return placed.select(
-        *[(new_text.alias(c) if c == text else F.col(f"`{c}`")) for c in pages.columns],
-        F.greatest("_n", F.lit(0)).alias("n_lines"),
-        F.coalesce(dropped, F.lit(0)).cast("bigint").alias("n_dropped"),
+        *[
+            (new_text if c == text else F.col("row")[c]).alias(c)
+            for c in pages.columns
+            if c not in added
+        ],
+        *[v.alias(c) for c, v in added.items()],
     )

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import components, saved, text_blocks, width
+from shelfrank.llm.common import components, row_key, saved, text_blocks, width
 
 BITS = 64
 TILE_ROWS = 2048
@@ -166,11 +166,8 @@ def links(prints: DataFrame, max_distance: int = 3, tile_rows: int = TILE_ROWS)
     )
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 3, max_distance: int = 3, id_col: str = "doc_id"
-) -> DataFrame:
-    """``id_col, fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable."""
-    prints = saved(fingerprints(docs, words, id_col), "fingerprints")
+def classes(prints: DataFrame, max_distance: int, id_col: str) -> DataFrame:
+    """``fingerprint, component_id`` of all distinct fingerprints of ``id_col, fingerprint``."""
     distinct = saved(
         prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "distinct-fingerprints"
     )
@@ -179,7 +176,41 @@ def near_duplicates(
         roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
     ).select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(classes, "fingerprint").select(
+    return placed.join(least, "root").select("fingerprint", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 3, max_distance: int = 3, id_col: str = "doc_id"
+) -> DataFrame:
+    """``id_col, fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable."""
+    prints = saved(fingerprints(docs, words, id_col), "fingerprints")
+    return prints.join(classes(prints, max_distance, id_col), "fingerprint").select(
         id_col, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(
+    docs: DataFrame, words: int = 3, max_distance: int = 3, id_col: str = "doc_id"
+) -> DataFrame:
+    """One row of ``docs`` per component: of the smallest id, and of its rows any one.
+
+    The survivors' keys are joined back; the join's partitioning serves to drop equal rows.
+    """
+    keyed = docs.select(
+        F.struct("*").alias("row"),
+        row_key(docs).alias("key"),
+        F.col("text"),
+    )
+    prints = saved(fingerprints(keyed, words, "key"), "fingerprints")
+    ids = docs.select(row_key(docs).alias("key"), F.col(id_col).alias("id"))
+    ordered = prints.join(ids.distinct(), "key").select(
+        F.struct("id", "key").alias("id"), "fingerprint"
+    )
+    ordered = saved(ordered, "fingerprint-ids")
+    found = classes(ordered, max_distance, "id").select(F.col("component_id.key").alias("key"))
+    return (
+        keyed.select("row", "key")
+        .join(found.distinct(), "key")
+        .dropDuplicates(["key"])
+        .select("row.*")
+    )

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from shelfrank.llm.common import byte_set, hashed_words, mix, text_blocks
 
 WORD = byte_set(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 12_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 1.0
 EPOCHS = 4
 THRESHOLD = 0.3
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         labels, lists = [], []
         for batch in batches:
             labels += batch.column(1).to_pylist()
-            lists += [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
+            lists += [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)]
         known, count = np.unique(np.concatenate([*lists, np.zeros(0, np.uint32)]), return_counts=True)
         known = known[count > L1 / EPOCHS]
         state = Ftrl(len(known) + 1)
@@ -180,3 +180,16 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             )
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            scores = [shared.value.scores(texts) for _, texts in text_blocks([batch], [], "text")]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
