@@ -196,3 +196,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfrank.llm.hnsw import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op9_near_passages")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.passages import near_passages
+
+    return near_passages(table(spark, sf_dir, "documents"))
