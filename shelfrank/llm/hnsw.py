@@ -70,6 +70,8 @@ class Graph:
                 break
             around = links[i]
             around = around[around >= 0]
+            if len(around) and (around[1:] == around[0]).any():  # the ring's next node may be a link too
+                around = around[1:]
             around = around[mark[around] != turn]
             if not len(around):
                 continue

@@ -146,7 +146,7 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Trees:
         .groupBy("lang", "size", "gram")
         .agg(F.sum("n").alias("n"))
         # Rarer grams can neither make a context nor, with their context, be reached often.
-        .where((F.col("n") >= 2) | (F.col("size") <= 2))
+        .where((F.col("n") >= 3) | (F.col("size") <= 2))
         .toPandas()
     )
     seen = np.unique(counts.gram[counts["size"] == 1].to_numpy())

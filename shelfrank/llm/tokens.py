@@ -1,9 +1,10 @@
 """Token ids of whole texts with a public tokenizer, word by word through a cache.
 
-Both tokenizers here cut a text into pieces before any merge, and never merge across a
-single blank between two non-blanks. So a text's ids are those of its blank-separated chunks
-one after the other, and equal chunks, by far the most, are encoded once. The results are the
-tokenizer's own; texts where the rule doesn't apply at some blank keep it inside a chunk.
+Both tokenizers here cut a text into pieces before any merge: a word of Latin letters with
+the blank before it, a full stop or comma after it, and a single line end are pieces. Runs of
+lines that hold nothing else are looked up word by word, and equal words, by far the most,
+are encoded once. Other lines are cut at single blanks between two non-blanks, which no piece
+crosses, and equal chunks are encoded once. The ids are the tokenizer's own in either case.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ import os
 import re
 from array import array
 
-import numpy as np
-
-# Entries of each of the two caches of a Python worker, about 200 bytes each.
-CACHE_ENTRIES = 400_000
+# Entries of the caches of a Python worker, about 200 bytes each.
+CACHE_WORDS, CACHE_CHUNKS = 700_000, 100_000
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict = {}
 # One word of Latin letters: a single piece for either tokenizer, so its model alone decides.
 _WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_LINES = re.compile(
+    "[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?(?:[ \n][A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?)*"
+).fullmatch
 _WORD_AND_STOP = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
 
@@ -41,26 +43,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Of the two kinds of files, those with word ends lower-case words and drop blanks.
         self.word_ends = bool(self.tokenizer.model.end_of_word_suffix)
-        self.words = Tokenizer(self.tokenizer.model)
+        self.model = self.tokenizer.model
+        self.line_end = self.direct("\n")
+        self.plain: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
-        split = [t.split(" ") for t in texts]
-        known = self.chunks
-        new = set().union(*(parts[1:] for parts in split)).difference(known)
-        self.learn([c for c in new if is_plain(c)])
+        runs = [[(True, t)] if _LINES(t) else runs_of_lines(t) for t in texts]
+        split = [
+            [(text if plain else None, words_of(text) if plain else text.split(" ")) for plain, text in doc]
+            for doc in runs
+        ]
+        self.learn_plain(set().union(*(parts[1:] for doc in split for t, parts in doc if t is not None)))
+        other = set().union(*(parts[1:] for doc in split for t, parts in doc if t is None))
+        self.learn([c for c in other.difference(self.chunks) if is_plain(c)])
         found = []
-        for text, parts in zip(texts, split, strict=True):
-            row = list(map(known.get, parts))
-            row[0] = self.direct(parts[0])
-            found.append(self.beside_white(text) if None in row else b"".join(row))
-        for cache in (self.chunks, self.pieces):
-            if len(cache) > CACHE_ENTRIES:
+        for doc, cut in zip(runs, split, strict=True):
+            ids = []
+            for (plain, text), (_, parts) in zip(doc, cut, strict=True):
+                row = list(map((self.plain if plain else self.chunks).get, parts))
+                row[0] = self.direct(parts[0])
+                ids.append(self.beside_white(text) if None in row else b"".join(row))
+            found.append(self.line_end.join(ids))
+        for cache, size in (
+            (self.plain, CACHE_WORDS), (self.chunks, CACHE_CHUNKS), (self.pieces, CACHE_CHUNKS)
+        ):
+            if len(cache) > size:
                 cache.clear()
         return found
 
+    def learn_plain(self, parts: set[str]) -> None:
+        """Puts words (each after a blank, or after a line end) and stops into the cache."""
+        new = list(parts.difference(self.plain))
+        lines = [p for p in new if p[0] == "\n"]
+        words = [p for p in new if p[0] not in "\n.,"]
+        for p, ids in zip(words, self.ids_of_words([" " + w for w in words]), strict=True):
+            self.plain[p] = ids
+        for p, ids in zip(lines, self.ids_of_words([p[1:] for p in lines]), strict=True):
+            self.plain[p] = self.line_end + ids
+        for p in new:
+            if p in (".", ","):
+                self.plain[p] = self.direct(p)
+
     def beside_white(self, text: str) -> bytes:
         """Ids of a text with blanks beside white space, which stay inside their chunks."""
         head, *rest = _SAFE_BLANK.split(text)
@@ -83,7 +109,7 @@ class Encoder:
         words, other = [], []
         for piece in new:
             (words if _WORD(piece) else other).append(piece)
-        self.learn_words(words)
+        self.pieces.update(zip(words, self.ids_of_words(words), strict=True))
         codes = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
         for piece, code in zip(other, codes, strict=True):
             self.pieces[piece] = array("I", code.ids).tobytes()
@@ -92,20 +118,38 @@ class Encoder:
         for chunk, pieces in cut.items():
             self.chunks[chunk] = b"".join(map(get, pieces))
 
-    def learn_words(self, pieces: list[str]) -> None:
-        """All at once: the model takes words one by one if they are given apart."""
+    def ids_of_words(self, pieces: list[str]) -> list[bytes]:
         if not pieces:
-            return
+            return []
         text = "\n".join(pieces)
         if self.word_ends:
             text = text.replace(" ", "").lower()
         letters = text.encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[0x0A])
-        found = self.words.encode(letters, is_pretokenized=True, add_special_tokens=False)
-        data = np.array(found.ids, "<u4").tobytes()
-        ends = 4 * np.searchsorted(np.array(found.word_ids), np.arange(len(pieces) + 1))
-        ends = ends.tolist()
-        for piece, a, b in zip(pieces, ends, ends[1:], strict=False):
-            self.pieces[piece] = data[a:b]
+        merge = self.model.tokenize
+        return [array("I", [t.id for t in merge(word)]).tobytes() for word in letters]
+
+
+def words_of(text: str) -> list[str]:
+    """Words and stops of plain lines; a line's first word keeps the line end before it."""
+    return text.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
+
+
+def runs_of_lines(text: str) -> list[tuple[bool, str]]:
+    """Runs of lines, whether plain, between which a single line end is a piece of its own."""
+    lines = text.split("\n")
+    kinds = [bool(_LINES(x)) for x in lines]
+    # A line with white space at an end takes the lines around into its own run.
+    open_ends = [not is_plain(x) for x in lines]
+    runs: list[tuple[bool, list[str]]] = []
+    for i, line in enumerate(lines):
+        near = open_ends[max(i - 1, 0) : i + 2]
+        plain = kinds[i] and not any(near)
+        glued = i > 0 and (open_ends[i - 1] or open_ends[i])
+        if runs and (glued or runs[-1][0] == plain):
+            runs[-1][1].append(line)
+        else:
+            runs.append((plain, [line]))
+    return [(plain, "\n".join(part)) for plain, part in runs]
 
 
 def is_plain(part: str) -> bool:
