@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfrank.functions import text as X
+from shelfrank.runtime import write_parquet
 
 REQUIRED_COLUMNS = [
     "item_id", "title", "genres", "tags", "description", "release_year", "positive_ratio",
@@ -19,18 +19,6 @@ TEXT_COLUMNS = [
     "item_id", "title", "genres", "tags", "description", "developer", "publisher", "url_store",
     "url_ref", "header_image", "app_id", "review_keywords",
 ]
-CATALOG_SCHEMA = T.StructType(
-    [
-        T.StructField(
-            name,
-            T.DoubleType()
-            if name in ("positive_ratio", "price", "sentiment_score", "release_year")
-            else T.StringType(),
-        )
-        for name in REQUIRED_COLUMNS + OPTIONAL_COLUMNS
-    ]
-)
-
 # Formats of image addresses.
 APP_IMAGE_PATTERN = r"/steam/apps/([0-9]+)/"
 APP_IMAGE_URL = ("https://cdn.akamai.steamstatic.com/steam/apps/", "/header.jpg")
@@ -39,9 +27,7 @@ PLACEHOLDER_IMAGE = "https://via.placeholder.com/460x215"
 
 # Borders and limits of the cleaning rules.
 MAX_RATING = 5.0
-UNRATED_AFTER = 100_000
 MIN_DESCRIPTION = 20
-CATALOG_LIMIT = 40_000
 SHORT_TEXT = LONG_TEXT = 100
 
 # Words drawn for synthetic review keywords (parameters).
@@ -161,17 +147,23 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return picked.select("row.*")
 
 
-def top_k_by_quality(df: DataFrame, k: int = CATALOG_LIMIT) -> DataFrame:
+def top_k_by_quality(df: DataFrame, k: int | None = None) -> DataFrame:
+    """The ``k`` best rows; all of them, in no order, if there is no limit."""
+    if k is None:
+        return df
     return df.orderBy(F.desc("positive_ratio"), F.desc("release_year"), "item_id").limit(k)
 
 
 def clean_raw_items(
     raw: DataFrame,
-    unrated_after: int = UNRATED_AFTER,
+    unrated_after: int | None = None,
     store_prefix: str = "https://store.example/items/",
     reference_prefix: str = "https://wiki.example/search?q=",
 ) -> DataFrame:
-    """Usable rows of a raw source as catalogue rows; ``catalog_pos`` is the input position."""
+    """Usable rows of a raw source as catalogue rows; ``catalog_pos`` is the input position.
+
+    With ``unrated_after``, unrated rows behind that position are left out.
+    """
     text = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in ("genres", "tags")}
     rating = F.coalesce(F.col("rating"), F.lit(0)).try_cast("double")
     rows = raw.select(
@@ -185,10 +177,11 @@ def clean_raw_items(
         F.coalesce("developers", F.lit("")).alias("developer"),
         F.coalesce("publishers", F.lit("")).alias("publisher"),
     )
+    late_unrated = (F.col("rating") == 0) & (F.col("catalog_pos") > (unrated_after or 0))
     usable = rows.where(
         (F.col("title") != "")
         & F.col("rating").isNotNull()
-        & ~((F.col("rating") == 0) & (F.col("catalog_pos") > unrated_after))
+        & (F.lit(True) if unrated_after is None else ~late_unrated)
         & ((F.length("description") >= MIN_DESCRIPTION) | (F.col("tags") != ""))
     )
     return usable.select(
@@ -209,8 +202,8 @@ def clean_raw_items(
     )
 
 
-def build_catalog(raw: DataFrame, k: int = CATALOG_LIMIT, **options) -> DataFrame:
-    """Clean, keep the first row per title, then the k best."""
+def build_catalog(raw: DataFrame, k: int | None = None, **options) -> DataFrame:
+    """Clean and keep the first row per title; with ``k`` the k best."""
     items = clean_raw_items(raw, **options)
     return top_k_by_quality(keep_first(items, ["title"], [F.col("catalog_pos")]), k)
 
@@ -262,13 +255,38 @@ def order_by_priority(df: DataFrame, names: list[str]) -> DataFrame:
 def finish_catalog(
     catalog: DataFrame, images: DataFrame, blocklist: list[str], priority: list[str]
 ) -> DataFrame:
-    """Images, block list, one row per id, priority titles first."""
+    """Images, block list, one row per id; ``catalog_pos`` numbers them, priority titles first."""
     safe = blocklist_filter(add_images(catalog, images), blocklist)
     flagged = safe.withColumn("is_priority", priority_flag(F.col("title"), priority))
     one = keep_first(
         flagged, ["item_id"], [-F.col("is_priority"), -F.col("positive_ratio"), F.col("catalog_pos")]
     )
-    return one
+    order = [F.desc("is_priority"), F.desc("positive_ratio"), F.asc("catalog_pos"), F.asc("item_id")]
+    return renumbered(one, order)
+
+
+def renumbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``catalog_pos`` anew as 0, 1, ... in ``order``: a range sort, then counts per partition.
+
+    The sorted rows are stored, so that both readings see the same partitions.
+    """
+    spark = df.sparkSession
+    part = F.spark_partition_id()
+    placed = df.orderBy(*order).withColumns(
+        {"part": part, "row": F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33)}
+    )
+    placed = write_parquet(placed, "ordered")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts, total = [], 0
+    for r in sizes:  # one number per partition
+        starts.append((r["part"], total))
+        total += r["n"]
+    starts = spark.createDataFrame(starts, "part int, start bigint")
+    return (
+        placed.join(F.broadcast(starts), "part")
+        .withColumn("catalog_pos", F.col("start") + F.col("row"))
+        .drop("part", "row", "start")
+    )
 
 
 def validate_contract(df: DataFrame, id_column: str = "item_id") -> DataFrame:
@@ -276,8 +294,9 @@ def validate_contract(df: DataFrame, id_column: str = "item_id") -> DataFrame:
     if id_column != "item_id" and id_column in df.columns:
         df = df.withColumnRenamed(id_column, "item_id")
     check_columns(df)
-    number = {n: F.col(n).try_cast("double") for n in
-              ("release_year", "positive_ratio", "price", "sentiment_score")}
+    names = ("release_year", "positive_ratio", "price", "sentiment_score")
+    number = {n: F.col(n).try_cast("double") for n in names}
+    number = {n: F.when(~F.isnan(c), c) for n, c in number.items()}
     zero = F.lit(0.0)
     rules = {
         "release_year": lambda: F.coalesce(number["release_year"].try_cast("int"), F.lit(0)),
@@ -292,13 +311,7 @@ def validate_contract(df: DataFrame, id_column: str = "item_id") -> DataFrame:
         text = F.coalesce(F.col(name).cast("string"), F.lit(""))
         out.append((rules[name]() if name in rules else text).alias(name))
     if "catalog_pos" in df.columns:
-        out.append(F.col("catalog_pos"))
+        out.append(F.col("catalog_pos").cast("bigint").alias("catalog_pos"))
     image = F.col("header_image") if "header_image" in df.columns else F.lit("")
     app = F.col("app_id") if "app_id" in df.columns else F.lit("")
     return df.select(*out, (resolve_image_url(image, app) != "").alias("has_cover_image"))
-
-
-def last_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The last n rows of each group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("from_end", F.row_number().over(w)).where(F.col("from_end") <= n)

@@ -200,32 +200,34 @@ def local_explanation(reference_label: Column) -> Column:
     """One sentence per ranked row; works without any language model."""
     genres, tags = L.short_field(F.col("genres")), L.short_field(F.col("tags"))
     query = F.coalesce("query", F.lit(""))
-    intent = (
-        F.when(query != "", query)
-        .when(reference_label.isNotNull(), F.concat(F.lit("a taste for "), reference_label))
-        .otherwise("a good recommendation")
+    asked = (
+        F.when(query != "", F.concat(F.lit("asked: "), query))
+        .when(reference_label.isNotNull(), F.concat(F.lit("liked: "), reference_label))
+        .otherwise("nothing asked")
     )
-    return F.concat(
-        F.col("title"), F.lit(" fits "), intent, F.lit(" by its genres "),
-        F.when(genres != "", genres).otherwise("in the catalogue"), F.lit(" and tags "),
-        F.when(tags != "", tags).otherwise("of the item"), F.lit("."),
+    facts = F.concat_ws(
+        "; ",
+        asked,
+        F.when(genres != "", F.concat(F.lit("shelf: "), genres)),
+        F.when(tags != "", F.concat(F.lit("labels: "), tags)),
     )
+    return F.concat(F.col("title"), F.lit(" ("), facts, F.lit(")"))
 
 
-EMPTY_ANSWER = "No good candidates were found. Try other words for genre, mechanics or mood."
-ANSWER_HEAD = "My best suggestions are:"
+EMPTY_ANSWER = "Nothing on the shelves fits this request."
+ANSWER_HEAD = "Found:"
 
 
 def local_answer(requests: DataFrame, ranked: DataFrame, limit: int = 5) -> DataFrame:
     """A numbered list per request (request_id, prompt), or the empty-result text."""
     genres, tags = L.short_field(F.col("genres")), L.short_field(F.col("tags"))
-    reason = F.when(tags != "", tags).when(genres != "", genres).otherwise("catalogue signals")
+    reason = F.when(tags != "", tags).when(genres != "", genres).otherwise("no labels")
     lines = ranked.where(F.col("rank") <= limit).join(
         requests.select("request_id", "prompt"), "request_id"
     )
     line = F.concat(
-        F.col("rank").cast("string"), F.lit(". "), F.col("title"), F.lit(" - matches '"),
-        F.col("prompt"), F.lit("' by "), reason, F.lit("."),
+        F.lit("#"), F.col("rank").cast("string"), F.lit(" "), F.col("title"), F.lit(" ["), reason,
+        F.lit("] for: "), F.col("prompt"),
     )
     # At most ``limit`` rows per request are left to collect.
     listed = lines.groupBy("request_id").agg(

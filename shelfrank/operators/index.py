@@ -171,9 +171,9 @@ def count_terms(features: DataFrame, lexicon: Lexicon, low: int = 1, high: int =
 
 
 def vocabulary(
-    counts: DataFrame, n_items: int, max_features: int = MAX_FEATURES, min_df: int = 1
+    counts: DataFrame, n_items: int, max_features: int | None = MAX_FEATURES, min_df: int = 1
 ) -> DataFrame:
-    """(kind, term, df, ctf, idf): the terms with the largest corpus count."""
+    """(kind, term, df, ctf, idf): the terms with the largest corpus count, or all (None)."""
     per_term = counts.groupBy("term").agg(
         *[
             f
@@ -192,20 +192,20 @@ def vocabulary(
             F.col(f"ctf_{kind}").alias("ctf"),
         )
         .where((F.col("df") >= min_df) & (F.col("df") > 0))
-        .orderBy(F.desc("ctf"), "term")
-        .limit(max_features)
         for kind in KINDS
     ]
+    if max_features is not None:
+        sides = [s.orderBy(F.desc("ctf"), "term").limit(max_features) for s in sides]
     both = sides[0].unionByName(sides[1])
     return both.withColumn("idf", F.log((1.0 + n_items) / (1.0 + F.col("df"))) + 1.0)
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+def weigh(counts: DataFrame, vocab: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
     """Add w_* = tf * idf / row norm; terms outside both vocabularies go."""
     wide = vocab.groupBy("term").agg(
         *[F.max(F.when(F.col("kind") == k, F.col("idf"))).alias(f"idf_{k}") for k in KINDS]
     )
-    if 2 * max_features <= BROADCAST_TERMS:
+    if max_features is not None and 2 * max_features <= BROADCAST_TERMS:
         wide = F.broadcast(wide)
     row = Window.partitionBy("item_id")
     out = counts.join(wide, "term").withColumns(
@@ -228,7 +228,7 @@ def weigh(counts: DataFrame, vocab: DataFrame, max_features: int = MAX_FEATURES)
 def fit(
     catalog: DataFrame,
     lexicon: Lexicon,
-    max_features: int = MAX_FEATURES,
+    max_features: int | None = MAX_FEATURES,
     min_df: int = 1,
     ngram_range: tuple[int, int] = (1, 2),
     probe: Column | None = None,
@@ -250,7 +250,7 @@ def fit(
     counts = count_terms(text_features(rows, lexicon), lexicon, low, high)
     counts = write_bucketed(counts, "counts", "item_id", buckets, "item_id")
     n_items = catalog.count()
-    vocab = write_parquet(vocabulary(counts, n_items, max_features, min_df).coalesce(1), "vocab")
+    vocab = write_parquet(vocabulary(counts, n_items, max_features, min_df), "vocab")
     postings = weigh(counts, vocab, max_features)
     postings = write_bucketed(postings, "postings", "item_id", buckets, "term", "probe")
     return TextIndex(postings, vocab, n_items, lexicon, low, high)
@@ -282,7 +282,7 @@ def top_terms(rows: DataFrame, k: int) -> DataFrame:
 
 
 def simple_tfidf(
-    catalog: DataFrame, recipe, stop_words: list[str], max_features: int = MAX_FEATURES
+    catalog: DataFrame, recipe, stop_words: list[str], max_features: int | None = MAX_FEATURES
 ) -> DataFrame:
     """Unigram TF-IDF over one recipe of raw fields: (item_id, term, tf, w)."""
     spark = catalog.sparkSession
@@ -300,11 +300,11 @@ def simple_tfidf(
     vocab = (
         tf.groupBy("term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-        .orderBy(F.desc("ctf"), "term")
-        .limit(max_features)
     )
+    if max_features is not None:
+        vocab = vocab.orderBy(F.desc("ctf"), "term").limit(max_features)
     vocab = vocab.select("term", (F.log((1.0 + n_items) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    if max_features <= BROADCAST_TERMS:
+    if max_features is not None and max_features <= BROADCAST_TERMS:
         vocab = F.broadcast(vocab)
     x = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("item_id")))

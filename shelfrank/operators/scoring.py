@@ -111,18 +111,23 @@ def match_scores(
 
 
 def _salted_join(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """Join on term; the postings of frequent terms are dealt out over salts."""
-    salts = F.ceil(F.col("df") / ROWS_PER_SALT).cast("int")
-    hot = queries.where(F.col("df") > ROWS_PER_SALT).groupBy("term").agg(
-        F.max(salts).alias("salts")
-    )
-    left = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    """Join on term; the postings of frequent terms are dealt out over salts.
+
+    A term has one number of salts on both sides, from the largest ``df`` any query has
+    for it; queries of different kinds may carry different ones.
+    """
+    salts = F.ceil(F.max("df") / ROWS_PER_SALT).cast("int")
+    hot = queries.groupBy("term").agg(salts.alias("salts")).where("salts > 1")
     # Distinct hot terms are few: each holds more than ROWS_PER_SALT postings.
-    right = postings.join(broadcast_if_small(hot), "term", "left").withColumn(
-        "salt",
-        F.pmod(F.xxhash64("item_id"), F.coalesce("salts", F.lit(1))).cast("int"),
+    hot = broadcast_if_small(hot)
+    count = F.coalesce("salts", F.lit(1))
+    left = queries.join(hot, "term", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), count - 1))
+    )
+    right = postings.join(hot, "term", "left").withColumn(
+        "salt", F.pmod(F.xxhash64("item_id"), count).cast("int")
     )
-    return right.drop("salts").join(left, ["term", "salt"])
+    return right.drop("salts").join(left.drop("salts"), ["term", "salt"])
 
 
 def text_scores(requests: DataFrame, index: TextIndex, kind: str = "content") -> DataFrame:
@@ -194,7 +199,8 @@ def sentiment_stats(catalog: DataFrame) -> SentimentStats | None:
     """None if the catalogue has no sentiment column."""
     if "sentiment_score" not in catalog.columns:
         return None
-    col = catalog.select(F.col("sentiment_score").cast("double").alias("s"))
+    number = F.col("sentiment_score").cast("double")
+    col = catalog.select(F.when(~F.isnan(number), number).alias("s"))
     row = col.agg(F.count("s"), F.min("s"), F.max("s")).first()
     if row[0] == 0:
         return SentimentStats(0, None, None, None)
@@ -213,12 +219,20 @@ def normalised_sentiment(stats: SentimentStats | None) -> Column:
     """The catalogue's scale decides: -1..1, 0..5, 0..100 or already 0..1."""
     if stats is None or stats.n_rated == 0:
         return popularity()
-    filled = F.coalesce(F.col("sentiment_score").cast("double"), F.lit(stats.median))
-    if stats.low < 0 and stats.high <= 1:
-        return clip01((filled + 1) / 2)
-    if stats.high > 1:
-        return clip01(filled / (5.0 if stats.high <= 5 else 100.0))
-    return clip01(filled)
+    shift, span = sentiment_scale(stats)
+    number = F.col("sentiment_score").cast("double")
+    known = F.coalesce(F.when(~F.isnan(number), number), F.lit(stats.median))
+    return clip01((known + shift) / span)
+
+
+def sentiment_scale(stats: SentimentStats) -> tuple[float, float]:
+    """What to add to a score and what to divide it by, read off the catalogue's range."""
+    scales = [
+        (stats.high > 5, (0.0, 100.0)),
+        (stats.high > 1, (0.0, 5.0)),
+        (stats.low < 0, (1.0, 2.0)),
+    ]
+    return next((scale for fits_range, scale in scales if fits_range), (0.0, 1.0))
 
 
 def quality(stats: SentimentStats | None) -> Column:
@@ -243,20 +257,23 @@ def active_weights(weights: Weights = Weights(), semantic_active: bool = False)
 
     Ids that resolve to nothing still switch the content signal on.
     """
-    refs, query = has_references(), has_query()
-    zero = F.lit(0.0)
-    raw = {
-        "content": F.when(refs, weights.content).otherwise(zero),
-        "semantic": F.when((refs | query) & F.lit(semantic_active), weights.semantic).otherwise(zero),
-        "opinion": F.when(query, weights.opinion).otherwise(zero),
-        "quality": F.lit(weights.quality),
-    }
-    total = raw["content"] + raw["semantic"] + raw["opinion"] + raw["quality"]
-    idle = (raw["content"] + raw["semantic"] + raw["opinion"]) == 0
-    return {
-        f"weight_{n}": F.when(idle, 1.0 if n == "quality" else 0.0).otherwise(c / total)
-        for n, c in raw.items()
+    # Which of the two kinds of input a signal listens to; quality is always on.
+    listens = {
+        "content": has_references(),
+        "semantic": F.lit(semantic_active) & (has_references() | has_query()),
+        "opinion": has_query(),
     }
+    shares = F.array(
+        *[F.when(on, getattr(weights, n)).otherwise(0.0) for n, on in listens.items()],
+        F.lit(weights.quality),
+    )
+    asked = F.aggregate(F.slice(shares, 1, len(listens)), F.lit(0.0), lambda s, x: s + x)
+    out = {}
+    for place, name in enumerate([*listens, "quality"]):
+        alone = F.lit(float(name == "quality"))
+        part = F.get(shares, F.lit(place)) / (asked + weights.quality)
+        out[f"weight_{name}"] = F.when(asked > 0, part).otherwise(alone)
+    return out
 
 
 # ---------------------------------------------------------------- coverage

@@ -74,7 +74,7 @@ WHERE title <> '' AND NOT (rating0 = 0 AND catalog_pos > 100) AND (length(descri
 """
 CTES["built_v"] = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY catalog_pos) AS rn FROM usable_v)
-WHERE rn = 1 ORDER BY positive_ratio DESC, release_year DESC, item_id LIMIT 40000
+WHERE rn = 1
 """
 
 
@@ -330,7 +330,7 @@ def _sql_url(raw, app):
         f"SELECT {_ROW}, app_id, header_image, {_sql_url('header_image', 'app_id')} <> '' AS has_cover_image FROM ("
         "SELECT * EXCLUDE (app_id, header_image, release_year, positive_ratio), coalesce(app_id, '') AS app_id, header_image, "
         "coalesce(TRY_CAST(CASE WHEN catalog_pos % 10 = 0 THEN 'soon' ELSE CAST(release_year AS VARCHAR) END AS INTEGER), 0) AS release_year, "
-        "least(greatest(positive_ratio * 2 - 40, 0), 100) AS positive_ratio FROM imaged_v)"
+        "CASE WHEN catalog_pos % 7 = 0 THEN 0 ELSE least(greatest(positive_ratio * 2 - 40, 0), 100) END AS positive_ratio FROM imaged_v)"
     ),
 )
 def _(spark, d):
@@ -339,7 +339,9 @@ def _(spark, d):
             "release_year": F.when(F.col("catalog_pos") % 10 == 0, "soon").otherwise(
                 F.col("release_year").cast("string")
             ),
-            "positive_ratio": F.col("positive_ratio") * 2 - 40,
+            "positive_ratio": F.when(F.col("catalog_pos") % 7 == 0, float("nan")).otherwise(
+                F.col("positive_ratio") * 2 - 40
+            ),
             "left_over": F.lit(1),
         }
     )
@@ -363,12 +365,16 @@ def _(spark, d):
 @query(
     "finish_catalog", "E8 E12 E13 E14 E15",
     O.sql(
-        f"SELECT item_id, title, header_image, CASE WHEN {_priority} THEN 1 ELSE 0 END AS is_priority "
-        f"FROM imaged_v WHERE NOT ({_blocked})"
+        "SELECT *, row_number() OVER (ORDER BY is_priority DESC, positive_ratio DESC, old_pos) - 1 AS catalog_pos FROM ("
+        f"SELECT item_id, title, header_image, CASE WHEN {_priority} THEN 1 ELSE 0 END AS is_priority, positive_ratio, catalog_pos AS old_pos "
+        f"FROM imaged_v WHERE NOT ({_blocked}))"
     ),
 )
 def _(spark, d):
     done = E.finish_catalog(
         D.catalog(spark, d), D.images(spark, d), SHOP_BLOCKLIST, SHOP_PRIORITY
     )
-    return done.select("item_id", "title", "header_image", "is_priority")
+    old = D.catalog(spark, d).select("item_id", F.col("catalog_pos").alias("old_pos"))
+    return done.join(old, "item_id").select(
+        "item_id", "title", "header_image", "is_priority", "positive_ratio", "old_pos", "catalog_pos"
+    )

@@ -232,8 +232,9 @@ def _short(x):
 @query(
     "local_explanation", "A12",
     O.sql(
-        f"SELECT request_id, item_id, concat(title, ' fits ', CASE WHEN query <> '' THEN query WHEN lbl IS NOT NULL THEN concat('a taste for ', lbl) "
-        f"ELSE 'a good recommendation' END, ' by its genres ', {_short('genres')}, ' and tags ', {_short('tags')}, '.') AS explanation "
+        "SELECT request_id, item_id, concat(title, ' (', concat_ws('; ', CASE WHEN query <> '' THEN concat('asked: ', query) WHEN lbl IS NOT NULL THEN concat('liked: ', lbl) "
+        f"ELSE 'nothing asked' END, CASE WHEN {_short('genres')} <> '' THEN concat('shelf: ', {_short('genres')}) END, "
+        f"CASE WHEN {_short('tags')} <> '' THEN concat('labels: ', {_short('tags')}) END), ')') AS explanation "
         "FROM (SELECT *, array_to_string(reference_ids, ', ') AS lbl FROM shown_v)"
     ),
 )
@@ -247,8 +248,8 @@ def _(spark, d):
     "local_answer", "A12",
     O.sql(
         f"SELECT request_id, CASE WHEN body IS NULL THEN {O.q(P.EMPTY_ANSWER)} ELSE concat({O.q(P.ANSWER_HEAD)}, chr(10), body) END AS answer FROM ("
-        "SELECT q.request_id, string_agg(CASE WHEN v.rank IS NOT NULL THEN concat(CAST(v.rank AS VARCHAR), '. ', v.title, ' - matches ''', q.query, ''' by ', "
-        f"CASE WHEN {_short('v.tags')} <> '' THEN {_short('v.tags')} ELSE {_short('v.genres')} END, '.') END, chr(10) ORDER BY v.rank) AS body "
+        "SELECT q.request_id, string_agg(CASE WHEN v.rank IS NOT NULL THEN concat('#', CAST(v.rank AS VARCHAR), ' ', v.title, ' [', "
+        f"CASE WHEN {_short('v.tags')} <> '' THEN {_short('v.tags')} ELSE {_short('v.genres')} END, '] for: ', q.query) END, chr(10) ORDER BY v.rank) AS body "
         "FROM requests_v q LEFT JOIN (SELECT * FROM rec_v WHERE rank <= 5 AND request_id <> 'none') v USING (request_id) GROUP BY q.request_id)"
     ),
 )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +12,16 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else the warehouse.
+
+    Without the first, only a local session may go on: elsewhere the warehouse's default is a
+    folder of each machine.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = checkpoint.get() if checkpoint.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="shelfrank-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shelfrank"
     return root.rstrip("/")
 
 
@@ -28,7 +29,7 @@ def parallelism(spark: SparkSession) -> int:
     """Partitions for CPU-heavy stages; AQE must not merge these by byte size."""
     return max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
-        min(spark.sparkContext.defaultParallelism, 64),
+        spark.sparkContext.defaultParallelism,
     )
 
 
