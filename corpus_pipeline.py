@@ -54,7 +54,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# SQL can express neither the learnt model nor the tokenizer; tests compare with brute force.
+# SQL can express neither the learnt model nor the tokenizer.
 ORACLE_SQL = None
 
 
