@@ -471,6 +471,23 @@ def test_failed_links_try_the_next_representative(spark):
     assert {(r.doc_id, r.other_id) for r in found} == {(6, 5), (7, 5), (8, 5)}
 
 
+def test_chains_are_linked(spark):
+    rows = []
+    for k in (0, 21, 36, 37):
+        rng = random.Random(k)
+
+        def text(n, rng=rng):
+            return ["".join(rng.choices("abcdefghijk", k=6)) for _ in range(n)]
+
+        base = text(100)
+        for i, at in enumerate([(20, 50), (), (35, 80)]):  # the first and the last are below 0.8
+            edited = [f"other{k}" if n in at else w for n, w in enumerate(base)]
+            rows.append((10 * k + i, " ".join(text(20) + edited + text(20))))
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    pairs = {(r.doc_id, r.other_id) for r in found}
+    assert pairs == {p for k in (0, 21, 36, 37) for p in ((10 * k + 1, 10 * k), (10 * k + 2, 10 * k + 1))}
+
+
 def test_passages_of_edges(spark, edge_docs, no_docs):
     assert passages.near_passages(no_docs).count() == 0
     found = passages.near_passages(edge_docs).collect()
