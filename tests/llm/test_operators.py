@@ -488,6 +488,28 @@ def test_chains_are_linked(spark):
     assert pairs == {p for k in (0, 21, 36, 37) for p in ((10 * k + 1, 10 * k), (10 * k + 2, 10 * k + 1))}
 
 
+def test_passages_near_the_threshold(spark):
+    rng = random.Random(17)
+
+    def text(n):
+        return ["".join(rng.choices("abcdefghijk", k=6)) for _ in range(n)]
+
+    rows = []
+    for k in range(90):  # one edit in 50 words, two in 98, three in 146: Jaccard 0.8 to 0.85
+        edits = k % 3 + 1
+        passage = text(2 + 48 * edits + 5 * (k % 2))
+        edited = list(passage)
+        for n in range(edits):
+            edited[rng.randint(10, 40) + 48 * n] = "other"
+        both = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (passage, edited)]
+        assert 0.8 <= len(both[0] & both[1]) / len(both[0] | both[1]) < 0.85
+        rows += [(2 * k, text(30) + passage + text(25)), (2 * k + 1, text(15) + edited + text(40))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    found = passages.near_passages(docs).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(2 * k + 1, 2 * k) for k in range(90)}
+    assert all(r.similarity >= 0.8 for r in found)
+
+
 def test_passages_of_edges(spark, edge_docs, no_docs):
     assert passages.near_passages(no_docs).count() == 0
     found = passages.near_passages(edge_docs).collect()
