@@ -510,6 +510,22 @@ def test_passages_near_the_threshold(spark):
     assert all(r.similarity >= 0.8 for r in found)
 
 
+def test_all_places_of_a_passage_are_found(spark):
+    rng = random.Random(5)
+
+    def text(n):
+        return ["".join(rng.choices("abcdefghijk", k=6)) for _ in range(n)]
+
+    passage = text(60)
+    rows = [(1, text(20) + passage + text(20)), (2, passage + text(70) + passage + text(10))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    found = passages.near_passages(docs).collect()
+    assert {(r.doc_id, r.start, r.other_id, r.other_start) for r in found} == {(2, 0, 1, 20), (2, 130, 1, 20)}
+    run = [(i, " ".join(text(9) + ["again"] * 300 + text(9))) for i in (1, 2)]
+    found = passages.near_passages(spark.createDataFrame(run, docs.schema)).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(2, 1)}
+
+
 def test_passages_of_edges(spark, edge_docs, no_docs):
     assert passages.near_passages(no_docs).count() == 0
     found = passages.near_passages(edge_docs).collect()
