@@ -6,7 +6,12 @@ and frozen. In a context with ``n`` counts of ``d`` distinct bytes, a seen byte
 the context that is one byte shorter; below the empty context all bytes are equally likely.
 With frozen counts the cost of a byte in a context is a number, so each tree becomes a table
 of costs and one of steps to longer contexts. Scoring walks every position of a text back
-along its context and sums the exact code length under each language.
+along its context and sums the code length under each language.
+
+The tables are pruned: grams of three or more bytes seen under 3 times are dropped before
+``n`` and ``d`` are taken, and a tree keeps ``MAX_CONTEXTS`` contexts. Code lengths are exact
+for the pruned tables only; escapes in contexts with dropped grams differ from those of the
+full counts. Every text is scored whole.
 
 The language with the least code length wins. ``score`` is its share when code lengths of at
 most ``SCORE_BYTES`` bytes are turned into probabilities. Null texts and those without a
@@ -145,7 +150,7 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Trees:
         .mapInArrow(count, "lang string, size int, gram bigint, n bigint")
         .groupBy("lang", "size", "gram")
         .agg(F.sum("n").alias("n"))
-        # Rarer grams can neither make a context nor, with their context, be reached often.
+        # Pruning: n and d of the contexts that stay do not count the rarer grams.
         .where((F.col("n") >= 3) | (F.col("size") <= 2))
         .toPandas()
     )
