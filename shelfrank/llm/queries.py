@@ -203,3 +203,81 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfrank.llm.passages import near_passages
 
     return near_passages(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT rn, doc_id, len(w)::BIGINT AS n, w FROM texts WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM docs),
+items AS (
+  SELECT item_id, term, count(*)::BIGINT AS repeats FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL))
+  GROUP BY ALL),
+counts AS (
+  SELECT rn, term, count(*)::BIGINT AS tf FROM (SELECT rn, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM counts, totals GROUP BY term, nn),
+scores AS (
+  SELECT item_id, rn, sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 *
+           (100 - 25 + (25 * n * nn) // ll))))::BIGINT AS score
+  FROM counts JOIN docs USING (rn) JOIN weights USING (term) JOIN items USING (term), totals
+  GROUP BY ALL),
+ranked AS (
+  SELECT item_id, doc_id, score, (row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST))::INTEGER AS rank
+  FROM scores JOIN docs USING (rn) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.bag_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfrank.llm.runs import periodic_runs, planted
+
+    return runs_digest(periodic_runs(table(spark, sf_dir, "documents"), planted))
+
+
+def runs_digest(found: DataFrame) -> DataFrame:
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias(
+            "runs_sha256"
+        ),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shelfrank.llm.bpe import decode, encode
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode(coded, ranks, public_tokenizers.PATTERN).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
