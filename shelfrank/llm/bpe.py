@@ -64,23 +64,27 @@ SELECT word, i, id FROM (
 JOIN token ON body = byte
 """
 
-# ``best``: a word's least rank and, in the lower bits, the first place that has it.
+# ``k`` is word * 256 + place; ``rank`` has the place in its lower bits too, so a word's least
+# rank also tells the first place that has it.
 SHORT_WORDS = """
-WITH RECURSIVE walk(step, word, i, id) AS (
-  SELECT 0, word, pos, id FROM state
+WITH RECURSIVE walk(step, k, id) AS (
+  SELECT 0, (word::BIGINT << 8) | pos, id FROM state
   UNION ALL (
     WITH joined AS (
-      SELECT l.step, l.word, l.i, l.id, c
-      FROM walk l LEFT JOIN walk r ON r.word = l.word AND r.i = l.i + 1
+      SELECT l.step, l.k, l.id, (c << 8) | (l.k & 255) AS rank
+      FROM walk l LEFT JOIN walk r ON r.k = l.k + 1
       LEFT JOIN pair ON ab = (l.id::BIGINT << 20) | r.id),
-    least AS (SELECT word, min((c << 20) | i) AS best FROM joined WHERE c IS NOT NULL GROUP BY word)
-    SELECT step + 1, word, i - (i > best & 1048575)::INTEGER,
-           CASE WHEN i = best & 1048575 THEN (best >> 20)::INTEGER ELSE id END
-    FROM joined JOIN least USING (word) WHERE i <> (best & 1048575) + 1
+    least AS (
+      SELECT k >> 8 AS word, min(rank) AS best FROM joined WHERE rank IS NOT NULL GROUP BY ALL)
+    SELECT step + 1, k - ((k & 255) > (best & 255))::INTEGER,
+           CASE WHEN rank = best THEN (best >> 8)::INTEGER ELSE id END
+    FROM joined JOIN least ON word = k >> 8 WHERE (k & 255) <> (best & 255) + 1
   )
 )
-SELECT word, list(id ORDER BY i) AS ids
-FROM (SELECT * FROM walk QUALIFY step = max(step) OVER (PARTITION BY word)) GROUP BY word
+SELECT word::INTEGER AS word, list(id ORDER BY k) AS ids
+FROM walk JOIN (SELECT k >> 8 AS word, max(step) AS last FROM walk GROUP BY ALL)
+  ON word = k >> 8 AND step = last
+GROUP BY word
 """
 
 CONTRACT = """
@@ -192,18 +196,22 @@ class Coder:
         bodies = [body for _, body in part]
         self.put("fresh", word=pa.array(range(len(part)), pa.int32()), body=letters(bodies))
         self.db.execute(START)
-        for word, ids in ids_of(sum(map(len, bodies))):
-            self.cache[part[word][0]] = np.array(ids, "<u4").tobytes()
+        for found in ids_of(sum(map(len, bodies))):
+            lists = found["ids"].combine_chunks()
+            data = lists.values.to_numpy().astype("<u4").tobytes()
+            ends = (4 * lists.offsets.to_numpy()).tolist()
+            for word, a, b in zip(found["word"].to_pylist(), ends[:-1], ends[1:], strict=True):
+                self.cache[part[word][0]] = data[a:b]
         self.db.execute("DELETE FROM state")
 
     def short_ids(self, size: int):
-        return self.db.execute(SHORT_WORDS).fetchall()
+        yield self.db.sql(SHORT_WORDS).to_arrow_table()
 
     def long_ids(self, size: int):
         steps = str(max(1, min(STEPS, STEP_ROWS // size)))
         while self.db.execute("SELECT count(*) FROM state").fetchone()[0]:
             self.db.execute(CONTRACT.replace("$steps", steps))
-            yield from self.db.execute(FINISHED.replace("$steps", steps)).fetchall()
+            yield self.db.sql(FINISHED.replace("$steps", steps)).to_arrow_table()
             self.db.execute(GO_ON.replace("$steps", steps))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
