@@ -152,11 +152,13 @@ class Coder:
     """A worker's connection with the tables of one vocabulary, and the words seen lately."""
 
     def __init__(self, path: str, pattern: str):
+        self.load(read_ranks(path), pattern)
+
+    def load(self, ranks: dict[bytes, int], pattern: str) -> None:
         import duckdb
         import regex
 
         self.find = regex.compile(pattern).findall
-        ranks = read_ranks(path)
         self.whole = {body: np.array([i], "<u4").tobytes() for body, i in ranks.items()}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
