@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 BLOCK_BYTES = 4 << 20
 
@@ -38,9 +39,20 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def row_key(df: DataFrame) -> Column:
-    """A 96-bit key of a row's whole content: equal rows, and only they, share it."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return F.concat_ws("-", F.hex(F.xxhash64(*columns)), F.hex(F.hash(*columns)))
+    """A 96-bit key of a row's whole content: equal rows, and only they, share it.
+
+    Spark's hashes skip nulls, so each column comes with a mark for them; nested columns
+    are hashed as JSON, which tells nulls inside them apart and takes maps.
+    """
+    parts = []
+    for field in df.schema.fields:
+        value = F.col("`" + field.name.replace("`", "``") + "`")
+        parts.append(value.isNull())
+        if isinstance(field.dataType, AtomicType):
+            parts.append(value)
+        else:
+            parts.append(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}))
+    return F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.hash(*parts)))
 
 
 def width(spark: SparkSession) -> int:

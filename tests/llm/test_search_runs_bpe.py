@@ -309,3 +309,28 @@ def test_search_equals_its_sql(spark, duck, sf_dir):
     got = queries.QUERIES["op11_ranked_search"](spark, sf_dir).collect()
     want = duck.execute(queries.ORACLES["op11_ranked_search"]).fetchall()
     assert sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in got) == sorted(want)
+
+
+# --- keys of rows
+
+
+def test_row_keys_tell_nulls_apart_and_take_maps(spark):
+    from shelfrank.llm import decontam, simhash
+    from shelfrank.llm.common import row_key
+
+    rows = [
+        (1, "same text", None, "x", {"k": None}, [None, 1]),
+        (1, "same text", "x", None, {"k": None}, [None, 1]),
+        (1, "same text", "x", None, {}, [None, 1]),
+        (1, "same text", "x", None, None, [1, None]),
+        (1, "same text", "x", None, None, [1]),
+        (1, "same text", "x", None, None, None),
+    ]
+    schema = "doc_id bigint, text string, a string, `b.c` string, m map<string,string>, v array<int>"
+    docs = spark.createDataFrame(rows + rows[:2], schema)
+    assert docs.select(row_key(docs).alias("key")).distinct().count() == len(rows)
+    # All rows have one text: one stays, with all its columns. Nothing here is contaminated.
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == 1
+    bench = spark.createDataFrame([(1, "other words")], "item_id bigint, text string")
+    assert decontam.keep_uncontaminated(docs, bench).count() == len(rows) + 2
