@@ -6,6 +6,7 @@ import json
 import os
 import sys
 import time
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def main() -> None:
     catalog = D.catalog(spark, SF_DIR)
     timed("load_catalog", lambda: run(catalog))
     model = timed("fit_both_indexes", lambda: R.build_model(catalog, SHOP))
-    semantic = R.RankModel(model.items, model.index, model.stats, D.item_vectors(spark, SF_DIR))
+    semantic = replace(model, vectors=D.item_vectors(spark, SF_DIR))
     requests = D.requests(spark, SF_DIR)
     texts = D.text_requests(spark, SF_DIR)
     liked = requests.where(F.size("reference_ids") > 0).withColumn("query", F.lit(""))

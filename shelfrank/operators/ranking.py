@@ -7,11 +7,16 @@ semantic) share. Hence the top k lie in
     items with a matching term  +  the k best items by that share alone.
 
 Coverage needs the item's whole text, so it is computed late. It scales the opinion
-score by 0.35..1, which bounds every candidate's score from both sides. The probe
-part of the postings (about the best eighth by quality) is ranked first: the k-th best
-exact score found there is a floor for the k-th best of all. Then all postings are
-matched, and only candidates whose upper bound reaches the floor have their texts
-read. The floor only saves work; no candidate that could be listed is dropped.
+score by 0.35..1, which bounds every candidate's score from both sides. Heavy request
+tables rank the probe part of the postings (about the best eighth by quality) first: the
+k-th best exact score found there is a floor for the k-th best of all. Then blocks of items
+whose upper bound stays under the floor are skipped (``blocks``), and only candidates whose
+own upper bound reaches it have their texts read. Light tables take the k-th best lower
+bound among their candidates as the floor. The floor only saves work; no candidate that
+could be listed is dropped.
+
+Small request tables, their terms included, are held as local rows, which spares writing and
+counting them.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions import text as X
 from shelfrank.functions.lexicon import Lexicon
+from shelfrank.operators import blocks as B
 from shelfrank.operators import index as I
 from shelfrank.operators import scoring as S
 from shelfrank.operators import semantic as V
@@ -41,6 +47,12 @@ COVERAGE_FLOOR, COVERAGE_SHARE = 0.35, 0.65
 PROBE_DEPTH = 4
 # Below this many matching postings all candidates are scored at once.
 PROBE_FROM_ROWS = 2_000_000
+# Requests and their terms up to these numbers are kept as local rows.
+LOCAL_REQUESTS, LOCAL_TERMS = 1_000, 50_000
+# Request tables that hit so many times the number of all postings read them item by item.
+DENSE = 2
+# Candidates up to this number are broadcast to the items.
+FEW_PAIRS = 200_000
 SEMANTIC_TRIAL_WEIGHTS = S.Weights(content=0.35, semantic=0.35, opinion=0.15, quality=0.15)
 
 ITEM_NUMBERS = [
@@ -57,6 +69,7 @@ class RankModel:
     index: I.TextIndex
     stats: S.SentimentStats | None
     vectors: DataFrame | None = None
+    blocks: B.BlockIndex | None = None
 
     @property
     def semantic_active(self) -> bool:
@@ -97,7 +110,11 @@ def build_model(
     ).first()[0]
     probe = F.col("quality_score") >= F.lit(cut)
     index = I.fit(items, lexicon, probe=probe, placed=True, **fit_options)
-    return RankModel(items, index, stats, vectors)
+    blocks = B.build_blocks(items, index.postings)
+    # What every request needs of the lexicon, built with the model.
+    for build in (S.request_concepts, S.expanded_query, S.index_tokens):
+        build(lexicon)
+    return RankModel(items, index, stats, vectors, blocks)
 
 
 # ---------------------------------------------------------------- requests
@@ -117,9 +134,74 @@ def prepare_requests(
     )
 
 
-def request_terms(model: RankModel, requests: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Asked:
+    """Prepared requests; ``rows`` are their local rows if they are few."""
+
+    table: DataFrame
+    rows: list | None
+
+    @property
+    def small(self) -> bool:
+        return self.rows is not None or fits(self.table)
+
+    def any(self, name: str) -> bool:
+        """Whether a yes/no column may be true."""
+        return self.rows is None or any(r[name] for r in self.rows)
+
+
+def asked_requests(
+    model: RankModel, requests: DataFrame, weights: S.Weights, label: str = "requests"
+) -> Asked:
+    prepared = prepare_requests(model, requests, weights)
+    rows = prepared.limit(LOCAL_REQUESTS + 1).collect()
+    if len(rows) > LOCAL_REQUESTS:
+        return Asked(write_parquet(prepared, label), None)
+    return Asked(requests.sparkSession.createDataFrame(rows, prepared.schema), rows)
+
+
+@dataclass(frozen=True)
+class Terms:
+    """Terms of all requests, how many postings they have, and their parts of the blocks."""
+
+    table: DataFrame
+    n: int
+    postings: int
+    parts: list[int]
+
+
+def asked_terms(model: RankModel, asked: Asked) -> Terms:
+    terms = request_terms(model, asked.table, asked.any("has_references"), asked.any("has_query"))
+    return held_terms(terms, few=asked.rows is not None)
+
+
+def held_terms(terms: DataFrame, few: bool) -> Terms:
+    """Query terms as local rows, if there may be ``few`` and are, or else written."""
+    spark = terms.sparkSession
+    terms = terms.withColumn("part", B.term_part(F.col("term")))
+    if few:
+        rows = terms.limit(LOCAL_TERMS + 1).collect()
+        if len(rows) <= LOCAL_TERMS:
+            table = spark.createDataFrame(rows, terms.schema)
+            return Terms(table, len(rows), sum(r["df"] for r in rows), sorted({r["part"] for r in rows}))
+    table = write_parquet(terms, "terms")
+    load = table.agg(F.count("*"), F.sum("df"), F.collect_set("part")).first()
+    return Terms(table, load[0], load[1] or 0, sorted(load[2]))
+
+
+def request_terms(
+    model: RankModel, requests: DataFrame, any_liked: bool = True, any_asked: bool = True
+) -> DataFrame:
     """One table of query terms for both sparse signals: qc (content), qo (opinion)."""
     none = F.lit(None).cast("double")
+    if not any_liked:
+        return S.query_vectors(requests, model.index, "opinion").select(
+            "request_id", "term", none.alias("qc"), F.col("qw").alias("qo"), "df"
+        )
+    if not any_asked:
+        return S.centroid_vectors(requests, model.index).select(
+            "request_id", "term", F.col("qw").alias("qc"), none.alias("qo"), "df"
+        )
     liked = S.centroid_vectors(requests, model.index).select(
         "request_id", "term", F.col("qw").alias("qc"), none.alias("qo"), "df"
     )
@@ -136,22 +218,53 @@ def request_terms(model: RankModel, requests: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- candidates
 
 
+def text_matches(model: RankModel, requests: DataFrame, kind: str = "content") -> DataFrame:
+    """Cosine of each query and every item that shares a term, from the blocks of its terms.
+
+    The same rows as ``scoring.text_scores``, which needs an index only and reads all postings.
+    """
+    weight, other, score = {
+        "content": ("qc", "qo", "content_score"), "opinion": ("qo", "qc", "opinion_raw")
+    }[kind]
+    vectors = S.query_vectors(requests, model.index, kind).select(
+        "request_id", "term", F.col("qw").alias(weight), F.lit(None).cast("double").alias(other), "df"
+    )
+    terms = held_terms(vectors, few=not requests.select("request_id").offset(LOCAL_REQUESTS).take(1))
+    own = model.items.sparkSession.createDataFrame([], "request_id string, item_id string")
+    pairs = matched_pairs(model, terms, own, requests)
+    return pairs.select("request_id", "item_id", F.col(score).alias(f"{kind}_score"))
+
+
 def matched_pairs(
-    model: RankModel, terms: DataFrame, own: DataFrame, small: bool, probe: bool = False
+    model: RankModel,
+    terms: Terms,
+    own: DataFrame,
+    shares: DataFrame,
+    probe: bool = False,
+    floor: DataFrame | None = None,
 ) -> DataFrame:
-    """(request_id, item_id, content_score, opinion_raw) of items sharing a term."""
-    zero = F.lit(0.0)
-    postings = model.index.postings
-    pairs = S.match_scores(
-        terms,
-        postings.where("probe") if probe else postings,
-        {
-            "content_score": F.sum(F.coalesce(F.col("qc") * F.col("w_content"), zero)),
-            "opinion_raw": F.sum(F.coalesce(F.col("qo") * F.col("w_opinion"), zero)),
-        },
-        small,
-    )
-    pairs = pairs.where((F.col("content_score") > 0) | (F.col("opinion_raw") > 0))
+    """(request_id, item_id, content_score, opinion_raw) of items sharing a term.
+
+    Terms that fit a broadcast are looked up in the blocks, unless they hit most postings
+    several times over; those, and the probe, are looked up in the postings bucketed by item,
+    which are read once and need no sort.
+    """
+    small = terms.n <= BROADCAST_ROWS
+    if small and not probe and model.blocks and terms.postings <= DENSE * model.blocks.n_postings:
+        pairs = B.block_pairs(model.blocks, terms.table, terms.parts, shares, floor)
+    else:
+        zero = F.lit(0.0)
+        postings = model.index.postings
+        pairs = S.match_scores(
+            terms.table,
+            postings.where("probe") if probe else postings,
+            {
+                "content_score": F.sum(F.coalesce(F.col("qc") * F.col("w_content"), zero)),
+                "opinion_raw": F.sum(F.coalesce(F.col("qo") * F.col("w_opinion"), zero)),
+            },
+            small,
+        )
+        pairs = pairs.where((F.col("content_score") > 0) | (F.col("opinion_raw") > 0))
     marked = own.withColumn("own", F.lit(True))
     return pairs.join(marked, ["request_id", "item_id"], "left").withColumn(
         "content_score", F.when(F.col("own"), 0.0).otherwise(F.col("content_score"))
@@ -170,14 +283,19 @@ def _best(rows: DataFrame, keys: list[str], score: str, k: int, by_reviews: bool
     return rows.withColumn("rank", ranked).where(F.col("rank") <= k)
 
 
-def quality_fill(items: DataFrame, requests: DataFrame, k: int, by_reviews: bool) -> DataFrame:
+def quality_fill(
+    items: DataFrame, requests: DataFrame, k: int, by_reviews: bool, rows: list | None = None
+) -> DataFrame:
     """The k best items by quality share alone, for each request.
 
     Requests fall into a few classes of equal quality weight, so the catalogue is
     ranked once per class and each request takes the k rows of its class.
     """
     # At most one class per combination of signals in use: a short list.
-    classes = requests.agg(F.collect_set("weight_quality")).scalar()
+    if rows is None:
+        classes = requests.agg(F.collect_set("weight_quality")).scalar()
+    else:
+        classes = F.array(*[F.lit(w) for w in {r["weight_quality"] for r in rows}]).cast("array<double>")
     spread = items.withColumn("wq", classes)
     ranked = spread.select(*ITEM_NUMBERS, F.explode("wq").alias("weight_quality")).withColumn(
         "share", F.col("weight_quality") * F.col("quality_score")
@@ -227,25 +345,24 @@ def recommend(
     ``keep`` filters what may be shown; scores, idf and sentiment statistics
     still come from the whole catalogue. Liked items are not excluded.
     """
-    req = write_parquet(prepare_requests(model, requests, weights), "requests")
-    terms = write_parquet(request_terms(model, req), "terms")
-    small = fits(req)
+    ask = asked_requests(model, requests, weights)
+    req, small = ask.table, ask.small
+    terms = asked_terms(model, ask)
     mark = F.broadcast if small else (lambda df: df)
     own = S.request_references(req).distinct()
-    own = broadcast_if_small(own)
-    shares = mark(
-        req.select(
-            "request_id",
-            "has_query",
-            (F.size("concepts") > 0).alias("has_concepts"),
-            *[f"weight_{n}" for n in ("content", "semantic", "opinion", "quality")],
-        )
+    own = F.broadcast(own) if ask.rows is not None and terms.n <= BROADCAST_ROWS else broadcast_if_small(own)
+    facts = req.select(
+        "request_id",
+        "has_query",
+        F.when(F.size("concepts") > 0, 1.0).otherwise(COVERAGE_FLOOR).alias("top_factor"),
+        *[f"weight_{n}" for n in ("content", "semantic", "opinion", "quality")],
     )
+    shares = mark(facts)
 
     shown = model.items if keep is None else model.items.where(keep)
     numbers = shown.select(*ITEM_NUMBERS)
-    load = terms.agg(F.count("*").alias("n"), F.sum("df").alias("rows")).first()
-    terms_small = load["n"] <= BROADCAST_ROWS
+    heavy = terms.postings > PROBE_FROM_ROWS
+    few = ask.rows is not None and terms.postings <= FEW_PAIRS
     vec = None
     if model.semantic_active:
         asked = V.select_vectors(
@@ -256,37 +373,45 @@ def recommend(
         asked = write_parquet(asked.withColumnRenamed("reference_ids", "own_ids"), "asked")
         vec = mark(asked.select("request_id", F.col("vector").alias("request_vector")))
 
-    def bounded(probe: bool) -> DataFrame:
+    def bounded(probe: bool = False, floor: DataFrame | None = None) -> DataFrame:
         """Matched pairs with the least and the highest score they can have."""
-        # Both sides are bucketed by item; hashing the items spares sorting the pairs.
-        pairs = matched_pairs(model, terms, own, terms_small, probe)
-        pairs = pairs.join(numbers.hint("shuffle_hash"), "item_id")
+        # Dense scores may lift a pair over a floor that its sparse ones don't reach.
+        early = floor if vec is None else None
+        pairs = matched_pairs(model, terms, own, facts, probe, early)
+        # Few pairs go to the items; else the items are hashed, which spares sorting the pairs.
+        pairs = (
+            numbers.join(F.broadcast(pairs), "item_id")
+            if few
+            else pairs.join(numbers.hint("shuffle_hash"), "item_id")
+        )
         if vec is None:
             pairs = pairs.withColumn("semantic_score", F.lit(0.0))
         else:
             pairs = _add_semantic(pairs, model, vec, own)
-        top_factor = F.when(F.col("has_concepts"), 1.0).otherwise(COVERAGE_FLOOR)
         return pairs.join(shares, "request_id").withColumns(
             {
                 "low": _score(F.col("opinion_raw") * COVERAGE_FLOOR),
-                "high": _score(F.col("opinion_raw") * top_factor),
+                "high": _score(F.col("opinion_raw") * F.col("top_factor")),
             }
         )
 
     signals = ["content_score", "opinion_raw", "semantic_score"]
     slim = ["request_id", "item_id", *signals]
-    candidates = bounded(False)
-    if (load["rows"] or 0) > PROBE_FROM_ROWS:
-        first = _best(bounded(True), ["request_id"], "low", PROBE_DEPTH * k, by_reviews)
+    if heavy:
+        first = _best(bounded(probe=True), ["request_id"], "low", PROBE_DEPTH * k, by_reviews)
         probed = finish_scores(model, first.select(*slim), req, mark)
         floor = write_parquet(_kth_best(probed, k), "floor")
-        least = F.coalesce(F.round("floor", S.RANK_DIGITS), F.lit(-10.0))
-        candidates = candidates.join(mark(floor), "request_id", "left").where(
-            F.round("high", S.RANK_DIGITS) >= least
-        )
+        candidates = bounded(floor=floor).join(mark(floor), "request_id", "left")
+    else:
+        place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("low")))
+        every = Window.partitionBy("request_id")
+        kth = F.max(F.when(F.col("place") == k, F.col("low"))).over(every)
+        candidates = bounded().withColumn("place", place).withColumn("floor", kth)
+    least = F.coalesce(F.round("floor", S.RANK_DIGITS), F.lit(-10.0))
+    candidates = candidates.where(F.round("high", S.RANK_DIGITS) >= least)
 
     if vec is None:
-        fill = quality_fill(shown, shares, k, by_reviews)
+        fill = quality_fill(shown, shares, k, by_reviews, ask.rows)
         fill = fill.withColumn("semantic_score", F.lit(0.0))
     else:
         dense_items = shown.select(*ITEM_NUMBERS).join(model.vectors, "item_id", "left")
@@ -296,7 +421,7 @@ def recommend(
     merged = candidates.select(*slim).unionByName(fill.select(*slim))
     # A fill row repeats a matched pair with zeros; its semantic score is the same.
     merged = merged.groupBy("request_id", "item_id").agg(*[F.max(c).alias(c) for c in signals])
-    scored = finish_scores(model, merged, req, mark)
+    scored = finish_scores(model, merged, req, mark, few)
     return _best(scored, ["request_id"], "score", k, by_reviews)
 
 
@@ -306,7 +431,9 @@ def _kth_best(rows: DataFrame, k: int) -> DataFrame:
     return top.where(F.col("r") == k).select("request_id", F.col("score").alias("floor"))
 
 
-def finish_scores(model: RankModel, pairs: DataFrame, req: DataFrame, mark) -> DataFrame:
+def finish_scores(
+    model: RankModel, pairs: DataFrame, req: DataFrame, mark, few: bool = False
+) -> DataFrame:
     """Read the texts of the remaining pairs and complete their scores."""
     items = model.items.select(*ITEM_NUMBERS, "title", "searchable", "words")
     facts = mark(
@@ -318,7 +445,8 @@ def finish_scores(model: RankModel, pairs: DataFrame, req: DataFrame, mark) -> D
         )
     )
     # The pairs build the hash table, so item texts stream by without a sort.
-    joined = items.join(pairs.hint("shuffle_hash"), "item_id").join(facts, "request_id")
+    pairs = F.broadcast(pairs) if few else pairs.hint("shuffle_hash")
+    joined = items.join(pairs, "item_id").join(facts, "request_id")
     factor = COVERAGE_FLOOR + COVERAGE_SHARE * F.col("query_coverage_score")
     return (
         joined.withColumn(
@@ -340,13 +468,13 @@ def score_matches(
 ) -> DataFrame:
     """All signals of every pair that shares a term (the rest score quality only)."""
     sparse = replace(model, vectors=None)
-    req = write_parquet(prepare_requests(sparse, requests, weights), "requests")
-    terms = write_parquet(request_terms(sparse, req), "terms")
+    ask = asked_requests(sparse, requests, weights)
+    req = ask.table
     own = broadcast_if_small(S.request_references(req).distinct())
-    pairs = matched_pairs(sparse, terms, own, fits(terms)).withColumn(
+    pairs = matched_pairs(sparse, asked_terms(sparse, ask), own, req).withColumn(
         "semantic_score", F.lit(0.0)
     )
-    mark = F.broadcast if fits(req) else (lambda df: df)
+    mark = F.broadcast if ask.small else (lambda df: df)
     return finish_scores(sparse, pairs, req, mark)
 
 

@@ -24,7 +24,7 @@ def _score_query(name, ids, kind):
         O.sql(f"SELECT request_id, item_id, round(s, 6) AS {kind}_score FROM text_{kind}_v"),
     )
     def _(spark, d):
-        scores = S.text_scores(D.text_requests(spark, d), C.model(spark, d).index, kind)
+        scores = R.text_matches(C.model(spark, d), D.text_requests(spark, d), kind)
         return scores.select("request_id", "item_id", *_r(f"{kind}_score"))
 
 
@@ -72,7 +72,7 @@ def _(spark, d):
 )
 def _(spark, d):
     model = C.model(spark, d)
-    scores = S.text_scores(D.text_requests(spark, d), model.index)
+    scores = R.text_matches(model, D.text_requests(spark, d))
     rows = scores.join(model.items.select("item_id", "catalog_pos"), "item_id")
     best = S.top_k(rows, "content_score", 10, [F.col("catalog_pos")])
     return best.select("request_id", "rank", "item_id", *_r("content_score"))

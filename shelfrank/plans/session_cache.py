@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfrank.functions.lexicon import SHOP
@@ -20,7 +22,7 @@ def model(spark: SparkSession, sf_dir: str) -> R.RankModel:
 
 def semantic_model(spark: SparkSession, sf_dir: str) -> R.RankModel:
     base = model(spark, sf_dir)
-    return R.RankModel(base.items, base.index, base.stats, D.item_vectors(spark, sf_dir))
+    return replace(base, vectors=D.item_vectors(spark, sf_dir))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions import text as T
 from shelfrank.functions.lexicon import SHOP
+from shelfrank.operators import blocks as B
 from shelfrank.operators import chat as H
 from shelfrank.operators import etl as E
 from shelfrank.operators import explain as P
@@ -122,6 +123,71 @@ def test_list_wins_over_single_reference(spark):
     assert got == {"a": ["1"], "b": ["9"], "c": None}
 
 
+def test_all_ways_to_match_give_one_ranking(spark, sf_dir, model, monkeypatch):
+    """Blocks with and without a floor, postings, local and written requests."""
+    reqs = D.requests(spark, sf_dir)
+    keep = R.facet_filter(min_ratio=60)
+    want = [(f, ranking(R.recommend(model, reqs, 7, keep=f))) for f in (None, keep)]
+    ways = [
+        {"PROBE_FROM_ROWS": 0, "DENSE": 10**9},
+        {"PROBE_FROM_ROWS": 0, "DENSE": 0},
+        {"DENSE": 0, "FEW_PAIRS": 0},
+        {"LOCAL_REQUESTS": 0, "PROBE_FROM_ROWS": 0, "DENSE": 10**9},
+        {"LOCAL_TERMS": 0, "DENSE": 10**9, "FEW_PAIRS": 0},
+    ]
+    for way in ways:
+        with monkeypatch.context() as patch:
+            for name, value in way.items():
+                patch.setattr(R, name, value)
+            for f, rows in want:
+                assert ranking(R.recommend(model, reqs, 7, keep=f)) == rows, way
+
+
+def test_blocks_give_the_cosines_of_the_postings(spark, sf_dir, model):
+    reqs = D.text_requests(spark, sf_dir)
+    for kind in I.KINDS:
+        cols = ("request_id", "item_id", F.round(f"{kind}_score", 9))
+        assert listed(R.text_matches(model, reqs, kind), *cols) == listed(
+            S.text_scores(reqs, model.index, kind), *cols
+        )
+
+
+def test_blocks_hold_all_postings_once(model):
+    table = model.blocks.table
+    assert table.selectExpr("sum(size(cells))").first()[0] == model.index.postings.count() == model.blocks.n_postings
+    cells = table.select("block", "term", "max_content", F.explode("cells").alias("x"))
+    assert cells.where(F.col("x.c") > F.col("max_content")).count() == 0
+    per_block = cells.groupBy("block").agg(F.count_distinct("x.item_id").alias("n"))
+    assert per_block.agg(F.max("n")).first()[0] <= B.BLOCK_ITEMS
+
+
+def test_a_request_reads_only_the_parts_of_its_terms(spark, sf_dir, model, capsys):
+    one = D.text_requests(spark, sf_dir).where("request_id = 't0'")
+    asked = R.asked_requests(model, one, S.Weights())
+    terms = R.asked_terms(model, asked)
+    assert asked.rows and 0 < len(terms.parts) < B.TERM_PARTS
+    pairs = B.block_pairs(model.blocks, terms.table, terms.parts, asked.table, None)
+    pairs.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [part" in plan
+    # Sums per block and item follow the buckets: only the request's terms are exchanged.
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_a_floor_drops_blocks_and_pairs(spark, sf_dir, model):
+    reqs = D.text_requests(spark, sf_dir)
+    asked = R.asked_requests(model, reqs, S.Weights())
+    terms = R.asked_terms(model, asked)
+    top = asked.table.withColumn("top_factor", F.lit(1.0))
+    ranked = R.recommend(model, reqs, 5)
+    floor = ranked.groupBy("request_id").agg(F.min("score").alias("floor"))
+    every = B.block_pairs(model.blocks, terms.table, terms.parts, top, None)
+    some = B.block_pairs(model.blocks, terms.table, terms.parts, top, floor)
+    assert some.count() < every.count() / 2
+    matched = ranked.where((F.col("content_score") > 0) | (F.col("text_search_score") > 0))
+    assert matched.join(some, ["request_id", "item_id"], "left_anti").count() == 0
+
+
 def test_salted_join_equals_broadcast(spark, sf_dir, model, monkeypatch):
     monkeypatch.setattr(S, "ROWS_PER_SALT", 20)
     vectors = S.query_vectors(D.text_requests(spark, sf_dir), model.index, "content")
