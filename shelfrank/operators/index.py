@@ -1,4 +1,4 @@
-"""TF-IDF text index: tokens, n-grams, postings, vocabulary, weights, persistence.
+"""TF-IDF text index: tokens, n-grams, postings, vocabulary, weights, fingerprints.
 
 One pass over the text builds two indexes that differ only in field weights:
 ``content`` (item to item) and ``opinion`` (query to item, with review keywords).
@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfrank.functions import text as X
@@ -37,7 +38,10 @@ OPINION_RECIPE = (
 )
 KINDS = ("content", "opinion")
 MAX_FEATURES = 30_000
-INDEX_VERSION = "1"
+INDEX_VERSION = "2"
+# Places of a leaf of the fingerprint tree, and nodes below a node.
+RANGE_ITEMS = 1_024
+TREE_LEVELS = 2
 
 # About one item in this many lies in the probe part of the postings table. Rankings
 # read it first for a threshold; what they return always comes from all parts.
@@ -57,6 +61,8 @@ class TextIndex:
     lexicon: Lexicon = field(repr=False)
     low: int = 1
     high: int = 2
+    max_features: int | None = MAX_FEATURES
+    min_df: int = 1
 
     def side(self, kind: str) -> DataFrame:
         p = self.postings.select(
@@ -253,7 +259,7 @@ def fit(
     vocab = write_parquet(vocabulary(counts, n_items, max_features, min_df), "vocab")
     postings = weigh(counts, vocab, max_features)
     postings = write_bucketed(postings, "postings", "item_id", buckets, "term", "probe")
-    return TextIndex(postings, vocab, n_items, lexicon, low, high)
+    return TextIndex(postings, vocab, n_items, lexicon, low, high, max_features, min_df)
 
 
 # ---------------------------------------------------------------- reading the index
@@ -316,14 +322,51 @@ def simple_tfidf(
 # ---------------------------------------------------------------- validity of stored data
 
 
-def catalog_fingerprint(catalog: DataFrame) -> DataFrame:
-    """Order-aware fingerprint of the ids, merged map-side: no list is collected."""
-    code = F.xxhash64(F.col("catalog_pos"), F.col("item_id"))
-    return catalog.agg(
+def fingerprint_tree(catalog: DataFrame, size: int = RANGE_ITEMS) -> DataFrame:
+    """(level, node, n_items, digest): hashes over the ids in the catalogue's order.
+
+    A node of level 0 is the MD5 of ``size`` consecutive places of ``catalog_pos`` with their
+    ids, one of a higher level that of ``size`` nodes below. The top level, ``TREE_LEVELS``, is
+    one node up to ``size ** (TREE_LEVELS + 1)`` places. A group has at most ``size`` rows, as
+    places are unique.
+    """
+    nothing = F.coalesce(F.col("item_id"), F.lit(""))
+    level = catalog.groupBy(F.expr(f"catalog_pos div {size}").alias("node")).agg(
         F.count("*").alias("n_items"),
-        F.coalesce(F.bit_xor(code), F.lit(0)).alias("ids_xor"),
-        F.coalesce(F.sum(F.pmod(code, F.lit(2**31))), F.lit(0)).alias("ids_sum"),
+        F.collect_list(F.struct("catalog_pos", nothing.alias("id"))).alias("parts"),
     )
+    line = lambda p: F.concat_ws(":", p["catalog_pos"], p["id"])
+    level = level.select("node", "n_items", _digest(F.transform(F.array_sort("parts"), line)))
+    levels = [level]
+    for _ in range(TREE_LEVELS):
+        level = level.groupBy(F.expr(f"node div {size}").alias("node")).agg(
+            F.sum("n_items").alias("n_items"),
+            F.collect_list(F.struct("node", "digest")).alias("parts"),
+        )
+        line = lambda p: F.concat_ws(":", p["node"], p["digest"])
+        level = level.select("node", "n_items", _digest(F.transform(F.array_sort("parts"), line)))
+        levels.append(level)
+    rows = [one.select(F.lit(n).alias("level"), "node", "n_items", "digest") for n, one in enumerate(levels)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _digest(lines: Column) -> Column:
+    return F.md5(F.array_join(lines, "\n")).alias("digest")
+
+
+def changed_ranges(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """Level-0 nodes of two trees that differ: (node, items_before, items_after)."""
+    a = stored.where("level = 0").select("node", F.col("n_items").alias("items_before"), F.col("digest").alias("a"))
+    b = current.where("level = 0").select("node", F.col("n_items").alias("items_after"), F.col("digest").alias("b"))
+    both = a.join(b, "node", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select("node", "items_before", "items_after")
+
+
+def catalog_fingerprint(catalog: DataFrame) -> DataFrame:
+    """One row, ``n_items, digest``: the hash over the tops of the tree, one but for huge catalogues."""
+    top = fingerprint_tree(catalog).where(F.col("level") == TREE_LEVELS)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda p: p["digest"])
+    return top.agg(F.coalesce(F.sum("n_items"), F.lit(0)).alias("n_items"), _digest(parts))
 
 
 def index_metadata(
@@ -335,8 +378,7 @@ def index_metadata(
         F.lit(provider).alias("provider"),
         F.lit(dimension).alias("dimension"),
         "n_items",
-        "ids_xor",
-        "ids_sum",
+        "digest",
     )
 
 
@@ -344,44 +386,10 @@ def is_valid(stored: DataFrame, current: DataFrame, stored_at=None, data_at=None
     """Stored data may be used: same metadata, and not older than the catalogue."""
     if stored_at is not None and data_at is not None and stored_at < data_at:
         return False
-    keys = ["version", "provider", "dimension", "n_items", "ids_xor", "ids_sum"]
+    keys = ["version", "provider", "dimension", "n_items", "digest"]
     same = stored.select(*keys).intersect(current.select(*keys))
     return bool(same.take(1))
 
 
-def persist_index(index: TextIndex, catalog: DataFrame, path: str) -> None:
-    """Write postings, vocabulary and metadata below ``path`` (a new folder)."""
-    index.postings.write.parquet(f"{path}/postings")
-    index.vocab.write.parquet(f"{path}/vocab")
-    # Written last: a folder without metadata is an unfinished index.
-    index_metadata(catalog).coalesce(1).write.parquet(f"{path}/metadata")
-
-
-def _mtime(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.getFileStatus(target).getModificationTime() if fs.exists(target) else None
-
-
-def load_if_valid(
-    catalog: DataFrame, lexicon: Lexicon, path: str, data_path: str | None = None
-) -> TextIndex | None:
-    """The stored index, or None if absent, unfinished, outdated or of other items."""
-    spark = catalog.sparkSession
-    stored_at = _mtime(spark, f"{path}/metadata/_SUCCESS")
-    if stored_at is None:
-        return None
-    data_at = _mtime(spark, data_path) if data_path else None
-    meta = spark.read.parquet(f"{path}/metadata")
-    if not is_valid(meta, index_metadata(catalog), stored_at, data_at):
-        return None
-    buckets = parallelism(spark)
-    postings = spark.read.parquet(f"{path}/postings").repartition(buckets, "item_id")
-    postings = write_bucketed(postings, "postings", "item_id", buckets, "term", "probe")
-    n_items = meta.first()["n_items"]
-    return TextIndex(postings, spark.read.parquet(f"{path}/vocab"), n_items, lexicon)
-
-
 def smooth_idf(n_items: int, df: int) -> float:
     return math.log((1 + n_items) / (1 + df)) + 1

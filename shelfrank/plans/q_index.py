@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from shelfrank.functions import text as X
 from shelfrank.functions.lexicon import SHOP
 from shelfrank.operators import index as I
+from shelfrank.operators import ranking as R
 from shelfrank.operators import semantic as V
 from shelfrank.plans import fixtures as D
 from shelfrank.plans import oracle as O
 from shelfrank.plans import session_cache as C
 from shelfrank.plans.oracle import CTES
+from shelfrank.plans.q_ranking import RECOMMEND_SQL, recommended
 from shelfrank.plans.registry import query
 from shelfrank.runtime import shared_dir, write_parquet
+from shelfrank.sources import model_store as MS
 
 DIAGNOSTIC_RECIPE = (("title", 1), ("genres", 3), ("description", 1))
 
@@ -140,7 +143,7 @@ def _(spark, d):
 )
 def _(spark, d):
     model = C.model(spark, d)
-    terms = I.top_terms(model.index.side("content"), 10)
+    terms = I.top_terms_of_item(model.index, model.items, 10)
     return terms.withColumn("weight", F.round("weight", 6))
 
 
@@ -167,55 +170,77 @@ def _(spark, d):
     return I.top_terms(rows, 10).withColumn("weight", F.round("weight", 6))
 
 
-@query(
-    "persist_and_load_index", "I8",
-    O.sql(
-        "SELECT 'content' AS kind, count(*) AS vocabulary_size FROM vocab_content_v UNION ALL "
-        "SELECT 'opinion', count(*) FROM vocab_opinion_v"
-    ),
-)
+# A reopened model ranks as the fitted one: the oracle is that of ``recommend``.
+@query("persist_and_load_index", "I8", O.sql(RECOMMEND_SQL))
 def _(spark, d):
     cat = D.catalog(spark, d)
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:8]}"
-    I.persist_index(C.model(spark, d).index, cat, path)
-    loaded = I.load_if_valid(cat, SHOP, path, f"{d}/documents.parquet")
-    return I.vocab_stats(loaded)
+    root = f"{shared_dir(spark)}/model-{uuid.uuid4().hex[:8]}"
+    MS.save_model(C.model(spark, d), cat, root)
+    opened = MS.open_model(spark, root, SHOP, cat, f"{d}/documents.parquet", ngram_range=(1, 2))
+    return recommended(R.recommend(opened, D.requests(spark, d), 10))
+
+
+# Leaves of 64 places give a tree of three levels at the test sizes.
+TREE_SIZE = 64
+
+
+def _node(source, key, line):
+    digest = f"md5(string_agg({line}, chr(10) ORDER BY {key}))"
+    items = "count(*)" if key == "pos" else "sum(n_items)"
+    return (
+        f"SELECT {key} // {TREE_SIZE} AS node, CAST({items} AS BIGINT) AS n_items, {digest} AS digest "
+        f"FROM {source} GROUP BY 1"
+    )
+
+
+CTES["fp_rows_v"] = "SELECT CAST(catalog_pos AS BIGINT) AS pos, item_id FROM catalog_v"
+CTES["fp0_v"] = _node("fp_rows_v", "pos", "concat(pos, ':', item_id)")
+CTES["fp1_v"] = _node("fp0_v", "node", "concat(node, ':', digest)")
+CTES["fp2_v"] = _node("fp1_v", "node", "concat(node, ':', digest)")
 
 
-@query("catalog_fingerprint", "I9", None)
+@query(
+    "catalog_fingerprint", "I9",
+    O.sql(" UNION ALL ".join(
+        f"SELECT CAST({n} AS INTEGER) AS level, node, n_items, digest FROM fp{n}_v" for n in range(3)
+    )),
+)
 def _(spark, d):
-    return I.catalog_fingerprint(D.catalog(spark, d))
+    return I.fingerprint_tree(D.catalog(spark, d), TREE_SIZE)
+
+
+def _metadata_sql(version, provider, dimension, keep):
+    return (
+        f"SELECT '{version}' AS version, '{provider}' AS provider, {dimension} AS dimension, count(*) AS n, "
+        f"string_agg(concat(catalog_pos, ':', item_id), chr(10) ORDER BY catalog_pos) AS ids FROM catalog_v WHERE {keep}"
+    )
+
+
+CHANGES = {
+    "same": ("1", "table", 64, "TRUE"),
+    "other provider": ("1", "x", 64, "TRUE"),
+    "other version": ("2", "table", 64, "TRUE"),
+    "other dimension": ("1", "table", 32, "TRUE"),
+    "other items": ("1", "table", 64, "catalog_pos <> 0"),
+}
 
 
 @query(
     "embedding_table_validity", "I10",
-    O.sql(
-        "SELECT * FROM (VALUES ('same', TRUE), ('other provider', FALSE), ('other version', FALSE), "
-        "('other dimension', FALSE), ('other items', FALSE)) AS t(change, valid) "
-        "WHERE (SELECT count(*) FROM catalog_v) > 0"
-    ),
+    O.sql(" UNION ALL ".join(
+        f"SELECT '{name}' AS change, (SELECT count(*) FROM (({_metadata_sql(*CHANGES['same'])}) INTERSECT ({_metadata_sql(*facts)}))) = 1 AS valid"
+        for name, facts in CHANGES.items()
+    )),
 )
 def _(spark, d):
     cat = D.catalog(spark, d)
-    base = {"version": "1", "provider": "table", "dimension": 64}
-    stored = write_parquet(I.index_metadata(cat, **base), "meta")
-    fewer = cat.where(F.col("catalog_pos") != 0)
-    cases = {
-        "same": I.index_metadata(cat, **base),
-        "other provider": I.index_metadata(cat, **{**base, "provider": "x"}),
-        "other version": I.index_metadata(cat, **{**base, "version": "2"}),
-        "other dimension": I.index_metadata(cat, **{**base, "dimension": 32}),
-        "other items": I.index_metadata(fewer, **base),
-    }
-    out = None
-    for name, current in cases.items():
-        part = (
-            current.withColumn("change", F.lit(name))
-            .join(stored.withColumn("hit", F.lit(True)), stored.columns, "left")
-            .select("change", F.coalesce("hit", F.lit(False)).alias("valid"))
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def metadata(version, provider, dimension, keep):
+        return write_parquet(I.index_metadata(cat.where(keep), version, provider, dimension), "meta")
+
+    stored = metadata(*CHANGES["same"])
+    rows = [(name, I.is_valid(stored, metadata(*facts))) for name, facts in CHANGES.items()]
+    return spark.createDataFrame(rows, "change string, valid boolean")
 
 
 @query(

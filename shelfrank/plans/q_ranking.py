@@ -23,7 +23,7 @@ def _sql_r(*names):
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
-def _out(df):
+def recommended(df):
     return df.select("request_id", "rank", "item_id", *_r(*SIGNALS))
 
 
@@ -48,16 +48,19 @@ def _(spark, d):
     return rows.select("item_id", "rank", "similar_id", *_r("score"))
 
 
-@query("recommend", "R17 R12 R14 R15 R16", O.sql(_sql_out("SELECT * FROM rec_v")))
+RECOMMEND_SQL = _sql_out("SELECT * FROM rec_v")
+
+
+@query("recommend", "R17 R12 R14 R15 R16", O.sql(RECOMMEND_SQL))
 def _(spark, d):
-    return _out(R.recommend(C.model(spark, d), D.requests(spark, d), 10))
+    return recommended(R.recommend(C.model(spark, d), D.requests(spark, d), 10))
 
 
 @query(
     "recommend_semantic", "R9 R17", O.sql(_sql_out(O.ranked("scored_sem_v", 10))),
 )
 def _(spark, d):
-    return _out(
+    return recommended(
         R.recommend(
             C.semantic_model(spark, d), D.requests(spark, d), 10,
             query_vectors=D.request_vectors(spark, d),
@@ -96,7 +99,7 @@ def _(spark, d):
 )
 def _(spark, d):
     keep = R.facet_filter(**FACETS)
-    return _out(R.recommend(C.model(spark, d), D.requests(spark, d), 10, keep=keep))
+    return recommended(R.recommend(C.model(spark, d), D.requests(spark, d), 10, keep=keep))
 
 
 @query("has_reviews", "R20", O.sql("SELECT item_id, has_reviews FROM items_v"))
@@ -126,7 +129,7 @@ def _(spark, d):
 )
 def _(spark, d):
     keep = F.col("release_year") >= 1990
-    return _out(
+    return recommended(
         R.recommend(C.model(spark, d), D.requests(spark, d), 10, keep=keep, by_reviews=True)
     )
 
@@ -219,4 +222,4 @@ def _case_sql() -> str:
 
 @query("run_cases", "R26", _case_sql())
 def _(spark, d):
-    return _out(R.run_cases(C.model(spark, d), _cases(spark, d), D.catalog(spark, d), 5))
+    return recommended(R.run_cases(C.model(spark, d), _cases(spark, d), D.catalog(spark, d), 5))

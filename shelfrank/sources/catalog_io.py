@@ -2,62 +2,71 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from shelfrank.operators.etl import check_columns
+from shelfrank.sources import versions
 
 INSTRUCTION_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("instruction", "input", "output")]
 )
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+def _reader(spark: SparkSession, fmt: str, multiline: bool):
+    if fmt != "csv":
+        return spark.read
+    return spark.read.options(**CSV_OPTIONS, multiLine=multiline)
 
 
-def load_catalog(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def load_catalog(
+    spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = True
+) -> DataFrame:
     """Read a catalogue (CSV with header, or parquet); fails early and by name.
 
-    Columns arrive as written; ``validate_contract`` gives them their types.
+    A catalogue written by ``write_catalog`` is read from its current version. Columns arrive
+    as written; ``validate_contract`` gives them their types. A CSV file whose texts hold line
+    ends is read by one task; without such texts say ``multiline=False``, and large files are
+    split.
     """
-    fs, target = _path(spark, path)
+    fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
+    at = versions.current(spark, path) or path
+    fs, target = versions.hadoop_path(spark, at)
     if not fs.exists(target):
         raise FileNotFoundError(f"no catalogue at {path}")
     if fs.getContentSummary(target).getLength() <= 1:
         raise ValueError(f"empty catalogue at {path}")
-    fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
-    reader = spark.read.options(**CSV_OPTIONS) if fmt == "csv" else spark.read
-    df = reader.format(fmt).load(path)
+    df = _reader(spark, fmt, multiline).format(fmt).load(at)
     check_columns(df)
     return df
 
 
 def write_catalog(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace the catalogue at ``path``; safe when ``df`` reads from it.
+    """Replace the catalogue at ``path``, a folder; safe when ``df`` reads from it.
 
-    Rows go to a sibling folder first and take the place of the old one at the
-    end, so a lost job leaves the old catalogue as it was.
+    Rows go to a new version below ``path``, the pointer flips to it, and only then old rows
+    are deleted: all versions but the one before, which readers may still follow. A job lost
+    in between leaves the old catalogue or the new one. A folder without versions takes the
+    pointer the same way; a single file can't, and is refused.
     """
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
+    fs, target = versions.hadoop_path(spark, path)
+    if fs.exists(target) and not fs.getFileStatus(target).isDirectory():
+        raise ValueError(f"{path} is a single file: give a folder")
+    first = fs.exists(target) and versions.current(spark, path) is None
+    version = versions.new_version(path)
     writer = df.write.options(**CSV_OPTIONS) if fmt == "csv" else df.write
-    writer.format(fmt).save(fresh)
-    fs, target = _path(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(_path(spark, fresh)[1], target)
+    writer.format(fmt).save(version)
+    versions.publish(spark, version)
+    versions.drop_old(spark, path, others=first)
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str], fmt: str = "parquet") -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, columns: list[str], fmt: str = "parquet", multiline: bool = True
+) -> DataFrame:
     """A raw source table given by the caller, reduced to the columns used."""
-    reader = spark.read.options(**CSV_OPTIONS) if fmt == "csv" else spark.read
-    df = reader.format(fmt).load(path)
+    df = _reader(spark, fmt, multiline).format(fmt).load(path)
     check_columns(df, columns)
     return df.select(*columns)
 

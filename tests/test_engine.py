@@ -1,7 +1,10 @@
 """Properties and brute-force checks of index, ranking, similarity and sources."""
 
+import hashlib
 import math
+import os
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -22,6 +25,8 @@ from shelfrank.plans import fixtures as D
 from shelfrank.plans import session_cache as C
 from shelfrank.runtime import write_parquet
 from shelfrank.sources import catalog_io as IO
+from shelfrank.sources import model_store as MS
+from shelfrank.sources import versions
 
 
 @pytest.fixture(scope="module")
@@ -78,18 +83,83 @@ def test_idf_and_vocabulary_limit(spark, model):
     assert listed(common.where("kind = 'content'"), "term") == [("b",)]
 
 
-def test_stored_index_is_refused_when_data_changes(spark, sf_dir, model, tmp_path):
+def test_stored_model_is_refused_when_data_changes(spark, sf_dir, model, tmp_path):
     cat = D.catalog(spark, sf_dir)
-    path = str(tmp_path / "index")
-    assert I.load_if_valid(cat, SHOP, path) is None
-    I.persist_index(model.index, cat, path)
-    assert I.load_if_valid(cat, SHOP, path).n_items == model.index.n_items
-    assert I.load_if_valid(cat.where("catalog_pos > 0"), SHOP, path) is None
+    path = str(tmp_path / "model")
+    assert MS.open_model(spark, path, SHOP, cat) is None
+    MS.save_model(model, cat, path)
+    assert MS.open_model(spark, path, SHOP, cat).index.n_items == model.index.n_items
+    assert MS.open_model(spark, path, SHOP, cat.where("catalog_pos > 0")) is None
     swapped = cat.withColumn("catalog_pos", F.when(F.col("catalog_pos") < 2, 1 - F.col("catalog_pos")).otherwise(F.col("catalog_pos")))
-    assert I.load_if_valid(swapped, SHOP, path) is None
+    assert MS.open_model(spark, path, SHOP, swapped) is None
     newer = tmp_path / "newer.csv"
     newer.write_text("x")
-    assert I.load_if_valid(cat, SHOP, path, str(newer)) is None
+    os.utime(newer, (2e9, 2e9))
+    reasons = {
+        "older than its data": {"data_path": str(newer)},
+        "options": {"ngram_range": (1, 3)},
+    }
+    for reason, asked in reasons.items():
+        assert MS.refusal(spark, path, SHOP, cat, **asked) == reason
+    assert MS.refusal(spark, path, SHOP, cat, ngram_range=(1, 2), min_df=1) is None
+    words = replace(SHOP, noisy_tags=[*SHOP.noisy_tags, "more"])
+    assert MS.refusal(spark, path, words, cat) == "lexicon"
+    changed = MS.changed_ranges(spark, path, swapped).collect()
+    assert [r.node for r in changed] == [0] and MS.changed_ranges(spark, path, cat).count() == 0
+
+
+def test_a_changed_recipe_refuses_a_stored_model(spark, sf_dir, model, tmp_path, monkeypatch):
+    cat = D.catalog(spark, sf_dir)
+    MS.save_model(model, cat, str(tmp_path / "model"))
+    monkeypatch.setattr(I, "CONTENT_RECIPE", I.CONTENT_RECIPE[1:])
+    assert MS.refusal(spark, str(tmp_path / "model"), SHOP, cat) == "recipe"
+
+
+def test_a_reopened_model_ranks_alike_and_shuffles_no_postings(spark, sf_dir, tmp_path, capsys):
+    cat = D.catalog(spark, sf_dir).where("length(description) < 900")
+    fitted = R.build_model(cat, SHOP, ngram_range=(1, 3), max_features=None)
+    path = str(tmp_path / "model")
+    MS.save_model(fitted, cat, path)
+    opened = MS.open_model(spark, path, SHOP, cat, ngram_range=(1, 3), max_features=None)
+    assert (opened.index.low, opened.index.high, opened.index.max_features) == (1, 3, None)
+    assert opened.stats == fitted.stats and opened.blocks.n_postings == fitted.blocks.n_postings
+    reqs = D.requests(spark, sf_dir)
+    assert ranking(R.recommend(opened, reqs, 5)) == ranking(R.recommend(fitted, reqs, 5))
+    opened.index.postings.groupBy("item_id").count().explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
+def test_a_lost_save_leaves_the_old_model(spark, sf_dir, model, tmp_path, monkeypatch):
+    cat = D.catalog(spark, sf_dir)
+    path = str(tmp_path / "model")
+    first = MS.save_model(model, cat, path)
+    with monkeypatch.context() as patch:
+        patch.setattr(versions, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            MS.save_model(model, cat, path)
+    assert versions.current(spark, path) == first
+    assert MS.open_model(spark, path, SHOP, cat) is not None
+
+
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_fingerprint_tree_equals_its_definition(spark, size):
+    rows = [(p, f"id{p}" if p % 5 else None) for p in range(40)]
+    cat = spark.createDataFrame(rows, "catalog_pos bigint, item_id string").repartition(3)
+    level = [f"{p}:{i or ''}" for p, i in rows]
+    want, n_items = [], [1] * len(level)
+    for n in range(I.TREE_LEVELS + 1):
+        nodes = range(-(-len(level) // size))
+        digests = [hashlib.md5("\n".join(level[x * size : (x + 1) * size]).encode()).hexdigest() for x in nodes]
+        n_items = [sum(n_items[x * size : (x + 1) * size]) for x in nodes]
+        want += [(n, x, n_items[x], digests[x]) for x in nodes]
+        level = [f"{x}:{d}" for x, d in enumerate(digests)]
+    assert listed(I.fingerprint_tree(cat, size), "level", "node", "n_items", "digest") == sorted(want)
+
+
+def test_fingerprint_of_no_items(spark):
+    none = spark.createDataFrame([], "catalog_pos bigint, item_id string")
+    assert I.fingerprint_tree(none).count() == 0
+    assert tuple(I.catalog_fingerprint(none).first()) == (0, hashlib.md5(b"").hexdigest())
 
 
 # ---------------------------------------------------------------- scores
@@ -330,6 +400,64 @@ def test_long_conversations_are_split_without_loss(spark):
 # ---------------------------------------------------------------- sources
 
 
+CATALOG = (
+    "item_id string, title string, genres string, tags string, description string, "
+    "release_year int, positive_ratio double"
+)
+
+
+def some_catalog(spark, *ids):
+    return spark.createDataFrame([(i, f"t{i}", "g", "x", "two\nlines", 2000, 50.0) for i in ids], CATALOG)
+
+
+@pytest.mark.parametrize("step", ["publish", "drop_old"])
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_a_lost_replacement_keeps_rows(spark, tmp_path, monkeypatch, step, fmt):
+    path = str(tmp_path / f"catalog.{fmt}")
+    IO.write_catalog(some_catalog(spark, "1", "2"), path, fmt)
+    with monkeypatch.context() as patch:
+        patch.setattr(versions, step, lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            IO.write_catalog(some_catalog(spark, "3"), path, fmt)
+    left = [("1",), ("2",)] if step == "publish" else [("3",)]
+    assert listed(IO.load_catalog(spark, path), "item_id") == left
+    IO.write_catalog(IO.load_catalog(spark, path).unionByName(some_catalog(spark, "4")), path, fmt)
+    assert listed(IO.load_catalog(spark, path), "item_id") == [*left, ("4",)]
+
+
+def test_readers_keep_the_version_before_and_folders_change_over(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    some_catalog(spark, "0").write.parquet(path)
+    assert listed(IO.load_catalog(spark, path), "item_id") == [("0",)]
+    IO.write_catalog(some_catalog(spark, "1"), path)
+    open_one = IO.load_catalog(spark, path)
+    IO.write_catalog(some_catalog(spark, "2"), path)
+    assert listed(open_one, "item_id") == [("1",)]
+    for i in "345":
+        IO.write_catalog(some_catalog(spark, i), path)
+    names = sorted(p.name for p in (tmp_path / "catalog").iterdir() if not p.name.startswith("."))
+    assert len(names) == 3 and names[0] == versions.POINTER
+    assert listed(IO.load_catalog(spark, path), "item_id") == [("5",)]
+    (tmp_path / "one.csv").write_text("item_id\n1\n")
+    with pytest.raises(ValueError, match="single file"):
+        IO.write_catalog(some_catalog(spark, "1"), str(tmp_path / "one.csv"), "csv")
+
+
+def test_csv_without_line_ends_is_split(spark, tmp_path):
+    path = str(tmp_path / "flat.csv")
+    rows = spark.range(20_000).selectExpr(
+        "cast(id as string) item_id", "'t, \"x\"' title", "'g' genres", "'a' tags", "'d' description",
+        "2000 release_year", "1.0 positive_ratio",
+    )
+    IO.write_catalog(rows.coalesce(1), path, "csv")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        flat = IO.load_catalog(spark, path, multiline=False)
+        assert flat.rdd.getNumPartitions() > 1 and flat.distinct().count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_load_catalog_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         IO.load_catalog(spark, str(tmp_path / "none.csv"))
