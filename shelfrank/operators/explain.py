@@ -44,13 +44,17 @@ def year_bounds(catalog: DataFrame) -> DataFrame:
     )
 
 
-def panel_stats(catalog: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Per request: catalogue size, shown rows, best score (0 without rows)."""
+def panel_stats(catalog: DataFrame, ranked: DataFrame, requests: DataFrame) -> DataFrame:
+    """Per request, also those without rows: catalogue size, shown rows, best score (0 without)."""
     size = catalog.agg(F.count("*")).scalar()
-    return ranked.groupBy("request_id").agg(
-        F.count("item_id").alias("n_shown"),
-        F.coalesce(F.max("score"), F.lit(0.0)).alias("best_score"),
-    ).withColumn("n_catalog", size)
+    shown = ranked.groupBy("request_id").agg(
+        F.count("item_id").alias("n_shown"), F.max("score").alias("best_score")
+    )
+    return (
+        requests.select("request_id").distinct().join(shown, "request_id", "left")
+        .na.fill({"n_shown": 0, "best_score": 0.0})
+        .withColumn("n_catalog", size)
+    )
 
 
 def all_ids_prefixed(catalog: DataFrame, prefix: str) -> DataFrame:
@@ -127,8 +131,9 @@ def reference_terms(references: DataFrame, items: DataFrame) -> DataFrame:
     slim = items.select("item_id", F.transform(terms, X.collapse_lower).alias("terms"))
     return (
         slim.join(broadcast_if_small(references.distinct()), "item_id")
+        .select("request_id", F.explode("terms").alias("term"))
         .groupBy("request_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("reference_terms"))
+        .agg(F.collect_set("term").alias("reference_terms"))
     )
 
 

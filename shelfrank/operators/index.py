@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions import text as X
 from shelfrank.functions.lexicon import Lexicon
-from shelfrank.runtime import broadcast_if_small, parallelism, write_bucketed, write_parquet
+from shelfrank.runtime import (
+    broadcast_if_small,
+    drop_written,
+    parallelism,
+    write_bucketed,
+    write_parquet,
+)
 
 # How often each field counts in the two corpora.
 CONTENT_RECIPE = (
@@ -259,6 +265,7 @@ def fit(
     vocab = write_parquet(vocabulary(counts, n_items, max_features, min_df), "vocab")
     postings = weigh(counts, vocab, max_features)
     postings = write_bucketed(postings, "postings", "item_id", buckets, "term", "probe")
+    drop_written(counts)
     return TextIndex(postings, vocab, n_items, lexicon, low, high, max_features, min_df)
 
 

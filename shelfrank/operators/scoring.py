@@ -7,6 +7,7 @@ shuffle of postings; query tables too large for that take a salted term join.
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 from pyspark import SparkContext
@@ -192,29 +193,52 @@ class SentimentStats:
     high: float | None
 
 
+DIGIT_BITS = 16
+
+
+def ordered_bits(value: Column) -> Column:
+    """A bigint per double that sorts as the doubles do; both zeros give one."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(2**63 - 1)))
+
+
+def from_ordered_bits(key: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", key if key >= 0 else key ^ (2**63 - 1)))[0]
+
+
 def exact_median(df: DataFrame, name: str) -> float | None:
-    """Exact median without sorting everything in one task.
+    """Exact median by radix selection: nothing is sorted and no task sees all rows.
 
-    Approximate quantiles fence in the middle ranks; only distinct values inside
-    the fence, with their counts, are ranked.
+    Each pass counts the values by their next 16 bits, among those that share the bits found
+    so far, and brings at most 2 * 65 536 counts to the driver. The two middle ranks are
+    followed together. Nulls don't count.
     """
-    v = F.col(name)
-    head = df.agg(
-        F.count(v).alias("n"),
-        F.percentile_approx(v, [0.4998, 0.5002], 100_000).alias("fence"),
-    ).first()
-    if not head["n"]:
-        return None
-    low, high = head["fence"]
-    below = df.where(v < low).count()
-    counts = df.where((v >= low) & (v <= high)).groupBy(v.alias("v")).agg(
-        F.count("*").alias("c")
-    )
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below
-    wanted = [(head["n"] - 1) // 2 + 1, head["n"] // 2 + 1]
-    ranked = counts.withColumn("upto", upto)
-    picks = ranked.agg(*[F.min(F.when(F.col("upto") >= r, F.col("v"))) for r in wanted]).first()
-    return (picks[0] + picks[1]) / 2
+    keys = df.where(F.col(name).isNotNull()).select(ordered_bits(F.col(name).cast("double")).alias("key"))
+    targets: list[tuple[int | None, int]] = []
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        rows = keys
+        if targets:
+            found = F.shiftright("key", shift + DIGIT_BITS)
+            rows = keys.where(found.isin(*{prefix for prefix, _ in targets}))
+        counts = sorted(map(tuple, rows.groupBy(F.shiftright("key", shift).alias("d")).count().collect()))
+        if not counts:
+            return None
+        if not targets:
+            n = sum(c for _, c in counts)
+            targets = [(None, (n - 1) // 2), (None, n // 2)]
+        targets = [_next_digit(counts, prefix, rank) for prefix, rank in targets]
+    low, high = (from_ordered_bits(prefix) for prefix, _ in targets)
+    return low if low == high else (low + high) / 2
+
+
+def _next_digit(counts: list[tuple[int, int]], prefix: int | None, rank: int) -> tuple[int, int]:
+    """The longer prefix that holds a rank (from 0) among those of ``prefix``, and its rank there."""
+    for found, count in counts:
+        if prefix is None or found >> DIGIT_BITS == prefix:
+            if rank < count:
+                return found, rank
+            rank -= count
+    raise ValueError("rank beyond the values")
 
 
 def sentiment_stats(catalog: DataFrame) -> SentimentStats | None:
@@ -321,20 +345,26 @@ def distinct_words(text: Column) -> Column:
 def coverage(text: Column, concepts: Column, words: Column | None = None) -> Column:
     """Share of concepts with any variant inside ``text`` as a substring.
 
-    A variant of ASCII letters and digits lies inside one run of them, so the
-    distinct words decide for it; other variants need the whole text.
+    A variant is ``text`` and whether it is ``plain``: of ASCII letters and digits. Such a one
+    lies inside one run of them, so the distinct words decide for it; others need the whole text.
     """
 
     def found(v: Column) -> Column:
-        if words is None:
-            return F.contains(text, v)
-        return F.contains(F.when(v.rlike("^[a-z0-9]+$"), words).otherwise(text), v)
+        where = text if words is None else F.when(v["plain"], words).otherwise(text)
+        return F.contains(where, v["text"])
 
     hits = F.filter(concepts, lambda variants: F.exists(variants, found))
     return F.when(F.size(concepts) > 0, F.size(hits) / F.size(concepts)).otherwise(0.0)
 
 
 def request_concepts(lexicon: Lexicon) -> Column:
-    """Of ``query``."""
-    build = lambda: X.query_concepts(F.col("query"), lexicon.concepts, lexicon.query_stop_words)
+    """Of ``query``: per concept its variants, each with ``text`` and ``plain``."""
+
+    def marked(v: Column) -> Column:
+        return F.struct(v.alias("text"), v.rlike("^[a-z0-9]+$").alias("plain"))
+
+    def build() -> Column:
+        concepts = X.query_concepts(F.col("query"), lexicon.concepts, lexicon.query_stop_words)
+        return F.transform(concepts, lambda variants: F.transform(variants, marked))
+
     return expression(lexicon, "concepts", build)

@@ -125,8 +125,11 @@ def select_vectors(
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
     out = np.zeros((len(column), dim))
     for i, v in enumerate(column):
-        if v is not None and len(v) == dim:
-            out[i] = v
+        if v is None:
+            continue
+        if len(v) != dim:
+            raise ValueError(f"a vector of {len(v)} numbers among those of {dim}")
+        out[i] = v
     return out
 
 

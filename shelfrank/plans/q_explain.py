@@ -54,14 +54,15 @@ def _(spark, d):
 @query(
     "panel_stats", "A4",
     O.sql(
-        "SELECT request_id, count(*) AS n_shown, round(max(score), 6) AS best_score, (SELECT count(*) FROM catalog_v) AS n_catalog "
-        "FROM rec_v GROUP BY request_id"
+        "SELECT request_id, count(item_id) AS n_shown, round(coalesce(max(score), 0), 6) AS best_score, "
+        "(SELECT count(*) FROM catalog_v) AS n_catalog FROM req_v LEFT JOIN (SELECT request_id, item_id, score FROM rec_v "
+        "WHERE positive_ratio >= 99) USING (request_id) GROUP BY request_id"
     ),
 )
 def _(spark, d):
-    model = C.model(spark, d)
-    ranked = R.recommend(model, D.requests(spark, d), 10)
-    return P.panel_stats(model.items, ranked).withColumn("best_score", F.round("best_score", 6))
+    model, requests = C.model(spark, d), D.requests(spark, d)
+    ranked = R.recommend(model, requests, 10).where("positive_ratio >= 99")
+    return P.panel_stats(model.items, ranked, requests).withColumn("best_score", F.round("best_score", 6))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,3 +71,13 @@ def write_parquet(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/shelfrank_{label}_{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Drops a table of ``write_bucketed`` that nothing reads any more, files included."""
+    spark = df.sparkSession
+    name = re.search(r"/(shelfrank_\w+)/", df.inputFiles()[0])[1] if df.inputFiles() else None
+    if name:
+        spark.sql(f"DROP TABLE {name}")
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -277,6 +277,27 @@ def test_exact_median(spark):
     assert S.exact_median(spark.createDataFrame([(None,)], "v double"), "v") is None
 
 
+def test_ordered_bits_sort_as_doubles(spark):
+    values = [float("-inf"), -1e300, -2.5, -2.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.5, 1e300, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("k", S.ordered_bits(F.col("v")))
+    rows = sorted((r.k, r.v) for r in df.collect())
+    assert [S.from_ordered_bits(k) for k, _ in rows] == values
+    assert len({k for k, _ in rows}) == len(values) - 1
+
+
+def test_panel_counts_requests_without_rows(spark):
+    items = spark.createDataFrame([("a",), ("b",)], "item_id string")
+    ranked = spark.createDataFrame([("r1", "a", 0.4), ("r1", "b", 0.2)], "request_id string, item_id string, score double")
+    reqs = spark.createDataFrame([("r1",), ("r2",)], "request_id string")
+    got = listed(P.panel_stats(items, ranked, reqs), "request_id", "n_shown", "best_score", "n_catalog")
+    assert got == [("r1", 2, 0.4, 2), ("r2", 0, 0.0, 2)]
+
+
+def test_vectors_of_another_width_are_refused():
+    with pytest.raises(ValueError, match="3 numbers among those of 2"):
+        V._matrix([None, [1.0, 2.0], [1.0, 2.0, 3.0]], 2)
+
+
 # ---------------------------------------------------------------- ranking
 
 
