@@ -151,47 +151,59 @@ class BlockTopK:
                 self.own.setdefault(item, []).append(row)
         self.k = k
         self.by_reviews = by_reviews
-        self.best: list[pd.DataFrame | None] = [None] * len(self.ids)
-
-    def add(self, items: pd.DataFrame) -> None:
-        if items.empty:
+        self.floor = np.full(len(self.ids), -np.inf)
+        # Rows kept: request, then the ranking keys (ascending), the product, the item.
+        self.keys = np.zeros((0, 5 + by_reviews))
+        self.sem = np.zeros(0)
+        self.items = np.zeros(0, object)
+
+    def add(self, items: pd.DataFrame, rows: np.ndarray | None = None) -> None:
+        """Scores items for all requests, or for those in ``rows``."""
+        rows = np.arange(len(self.ids)) if rows is None else rows
+        if items.empty or not len(rows):
             return
-        sem = self.q @ _matrix(items["vector"], self.q.shape[1]).T
+        sem = self.q[rows] @ _matrix(items["vector"], self.q.shape[1]).T
+        place = {r: i for i, r in enumerate(rows.tolist())}
         for col, item in enumerate(items["item_id"]):
             for row in self.own.get(item, ()):
-                sem[row, col] = 0.0
-        qual = items["quality_score"].to_numpy(dtype=float)
-        total = np.round(self.ws[:, None] * sem + self.wq[:, None] * qual[None, :], RANK_DIGITS)
+                if row in place:
+                    sem[place[row], col] = 0.0
+        quality = items["quality_score"].to_numpy(dtype=float)
+        total = np.round(self.ws[rows, None] * sem + self.wq[rows, None] * quality, RANK_DIGITS)
+        least = self.floor[rows]
+        if total.shape[1] > self.k:
+            kth = total.shape[1] - self.k
+            least = np.maximum(least, np.partition(total, kth, axis=1)[:, kth])
+        at, col = np.nonzero(total >= least[:, None])
         ties = [
-            items["catalog_pos"].to_numpy(),
-            -items["release_year"].to_numpy(dtype=float),
-            -items["positive_ratio"].to_numpy(dtype=float),
+            -items["positive_ratio"].to_numpy(dtype=float)[col],
+            -items["release_year"].to_numpy(dtype=float)[col],
+            items["catalog_pos"].to_numpy(dtype=float)[col],
         ]
         if self.by_reviews:
-            ties.append(-items["has_reviews"].to_numpy(dtype=float))
-        item_ids = items["item_id"].to_numpy()
-        for row in range(len(self.ids)):
-            scores = total[row]
-            keep = np.arange(len(scores))
-            if len(scores) > self.k:
-                floor = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-                keep = np.flatnonzero(scores >= floor)
-            new = pd.DataFrame(
-                {"item_id": item_ids[keep], "sem": sem[row, keep], "score": -scores[keep]}
-                | {f"t{i}": t[keep] for i, t in enumerate(ties)}
-            )
-            if self.best[row] is not None:
-                new = pd.concat([self.best[row], new], ignore_index=True)
-            order = ["score", *[f"t{i}" for i in reversed(range(len(ties)))]]
-            self.best[row] = new.sort_values(order, kind="stable").head(self.k)
-
-    def rows(self) -> Iterator[pd.DataFrame]:
-        for rid, best in zip(self.ids, self.best):
-            if best is not None and len(best):
-                frame = pd.DataFrame(
-                    {"request_id": rid, "item_id": best["item_id"], "semantic_score": best["sem"]}
-                )
-                yield frame.astype({"request_id": object, "item_id": object})
+            ties.insert(0, -items["has_reviews"].to_numpy(dtype=float)[col])
+        new = np.column_stack([rows[at], -total[at, col], *ties])
+        self.keys = np.concatenate([self.keys, new])
+        self.sem = np.concatenate([self.sem, sem[at, col]])
+        self.items = np.concatenate([self.items, items["item_id"].to_numpy(object)[col]])
+        order = np.lexsort(self.keys.T[::-1])
+        request = self.keys[order, 0].astype(int)
+        rank = np.arange(len(order)) - np.searchsorted(request, request)
+        kept = order[rank < self.k]
+        last = self.keys[order[rank == self.k - 1]]
+        self.floor[last[:, 0].astype(int)] = -last[:, 1]
+        self.keys, self.sem, self.items = self.keys[kept], self.sem[kept], self.items[kept]
+
+    def rows(self, scores: bool = False) -> Iterator[pd.DataFrame]:
+        if len(self.items):
+            frame = pd.DataFrame(
+                {
+                    "request_id": self.ids[self.keys[:, 0].astype(int)],
+                    "item_id": self.items,
+                    "semantic_score": self.sem,
+                }
+            ).astype({"request_id": object, "item_id": object})
+            yield frame.assign(score=-self.keys[:, 1]) if scores else frame
 
 
 def dense_top_k(
@@ -248,19 +260,16 @@ def grid_top_k(
             )
         top = BlockTopK(asked, k, by_reviews)
         top.add(block)
-        return pd.concat(list(top.rows()), ignore_index=True)
+        return next(top.rows())
 
     return (
         left.groupBy("rb", "ib").cogroup(right.groupBy("rb", "ib")).applyInPandas(cell, TOP_SCHEMA)
     )
 
 
-def semantic_top_k(items: DataFrame, requests: DataFrame, k: int) -> DataFrame:
-    """The k nearest items per request by dot product, not clipped below 0.
-
-    ``items``: item_id, catalog_pos, vector; ``requests``: request_id, vector, own_ids.
-    """
-    plain_items = items.select(
+def plain_items(items: DataFrame) -> DataFrame:
+    """``item_id, catalog_pos, vector`` with the columns that a search by vectors alone ignores."""
+    return items.select(
         "item_id",
         "vector",
         F.lit(0.0).alias("quality_score"),
@@ -269,6 +278,14 @@ def semantic_top_k(items: DataFrame, requests: DataFrame, k: int) -> DataFrame:
         F.lit(0).alias("release_year"),
         "catalog_pos",
     )
+
+
+def semantic_top_k(items: DataFrame, requests: DataFrame, k: int, search=None) -> DataFrame:
+    """The k nearest items per request by dot product, not clipped below 0.
+
+    ``items``: item_id, catalog_pos, vector; ``requests``: request_id, vector, own_ids.
+    ``search(requests, k)`` may replace the scan of all items, as ``cells.search_cells`` does.
+    """
     plain_requests = requests.select(
         "request_id",
         "vector",
@@ -276,9 +293,11 @@ def semantic_top_k(items: DataFrame, requests: DataFrame, k: int) -> DataFrame:
         F.lit(1.0).alias("weight_semantic"),
         F.lit(0.0).alias("weight_quality"),
     )
-    near = dense_top_k(plain_items, plain_requests, k).join(
-        items.select("item_id", "catalog_pos"), "item_id"
-    )
+    if search is None:
+        near = dense_top_k(plain_items(items), plain_requests, k)
+    else:
+        near = search(plain_requests, k)
+    near = near.join(items.select("item_id", "catalog_pos"), "item_id")
     order = Window.partitionBy("request_id").orderBy(
         F.desc(F.round("semantic_score", RANK_DIGITS)), "catalog_pos"
     )

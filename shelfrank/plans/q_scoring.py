@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfrank.operators import cells as N
 from shelfrank.operators import ranking as R
 from shelfrank.operators import scoring as S
 from shelfrank.operators import semantic as V
@@ -110,6 +111,12 @@ def _dense_items(spark, d):
     return positions.join(D.item_vectors(spark, d), "item_id")
 
 
+def _nearest(spark, d, requests):
+    items = _dense_items(spark, d)
+    cells = N.build_cells(V.plain_items(items))
+    return V.semantic_top_k(items, requests, 10, lambda asked, k: N.search_cells(cells, asked, k))
+
+
 @query(
     "semantic_by_text", "R7",
     O.sql(
@@ -119,7 +126,7 @@ def _dense_items(spark, d):
 )
 def _(spark, d):
     asked = D.request_vectors(spark, d).withColumn("own_ids", F.lit(None).cast("array<string>"))
-    best = V.semantic_top_k(_dense_items(spark, d), asked, 10)
+    best = _nearest(spark, d, asked)
     return best.select("request_id", "rank", "item_id", *_r("semantic_score"))
 
 
@@ -134,7 +141,7 @@ def _(spark, d):
     reqs = S.normalise_requests(D.requests(spark, d))
     liked = V.reference_vectors(S.request_references(reqs), D.item_vectors(spark, d))
     own = reqs.select("request_id", F.col("reference_ids").alias("own_ids"))
-    best = V.semantic_top_k(_dense_items(spark, d), liked.join(own, "request_id"), 10)
+    best = _nearest(spark, d, liked.join(own, "request_id"))
     return best.select("request_id", "rank", "item_id", *_r("semantic_score"))
 
 

@@ -66,9 +66,13 @@ def write_bucketed(
     return spark.table(name)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/shelfrank_{label}_{uuid.uuid4().hex[:12]}"
+
+
 def write_parquet(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shelfrank_{label}_{uuid.uuid4().hex[:12]}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shelfrank.functions import text as T
 from shelfrank.functions.lexicon import SHOP
 from shelfrank.operators import blocks as B
+from shelfrank.operators import cells as N
 from shelfrank.operators import chat as H
 from shelfrank.operators import etl as E
 from shelfrank.operators import explain as P
@@ -418,6 +419,73 @@ def test_long_conversations_are_split_without_loss(spark):
     assert want[0][2] == users[0] and want[5][2] == " ".join(users[3:6])
 
 
+# ---------------------------------------------------------------- dense cells
+
+
+def dense_fixture(spark, rng, clustered):
+    middle = rng.normal(size=(8, 6)) * 4
+    x = rng.normal(size=(600, 6)) + (middle[rng.integers(0, 8, 600)] if clustered else 0)
+    items = [
+        (f"i{n}", [float(v) for v in x[n]] if n % 50 else None, float(n % 7) / 7, n % 3 == 0, float(n % 11), 2000 + n % 5, n)
+        for n in range(600)
+    ]
+    cols = "item_id string, vector array<double>, quality_score double, has_reviews boolean, positive_ratio double, release_year int, catalog_pos bigint"
+    q = rng.normal(size=(30, 6)) + (middle[rng.integers(0, 8, 30)] if clustered else 0)
+    asked = [
+        (f"q{n}", [float(v) for v in q[n]] if n % 9 else None, [f"i{3 * n}", "i7"] if n % 2 else None, 0.6, 0.4)
+        for n in range(30)
+    ]
+    reqs = "request_id string, vector array<double>, own_ids array<string>, weight_semantic double, weight_quality double"
+    return spark.createDataFrame(items, cols), spark.createDataFrame(asked, reqs), items, asked
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+@pytest.mark.parametrize("by_reviews", [True, False])
+def test_cells_give_the_exact_top_k(spark, clustered, by_reviews):
+    items, reqs, item_rows, asked_rows = dense_fixture(spark, np.random.default_rng(5), clustered)
+    log = []
+    found = N.search_cells(N.build_cells(items, 20), reqs, 5, by_reviews, log)
+    plain = V.dense_top_k(items, reqs, 5, by_reviews)
+    for df in (found, plain):
+        got = defaultdict(set)
+        for r in df.collect():
+            got[r.request_id].add(r.item_id)
+        for rid, vector, own, ws, wq in asked_rows:
+            def key(row):
+                zero = row[1] is None or vector is None or row[0] in (own or [])
+                sem = 0.0 if zero else float(np.dot(vector, row[1]))
+                ties = ([-row[3]] if by_reviews else []) + [-row[4], -row[5], row[6]]
+                return [-round(ws * sem + wq * row[2], 9), *ties]
+            best = [r[0] for r in sorted(item_rows, key=key)[:5]]
+            assert set(best) <= got[rid], (rid, best)
+    first, second, every = log
+    assert every == 21 * 30 and first == 2 * 30
+    if clustered:
+        assert second < every / 2
+
+
+def test_a_search_reads_only_some_cells(spark, capsys):
+    items, reqs, _, _ = dense_fixture(spark, np.random.default_rng(6), True)
+    cells = N.build_cells(items, 20)
+    frame = reqs.where("request_id = 'q1'").toPandas()
+    wanted = np.zeros((1, len(cells.ids)), bool)
+    wanted[0, 4] = True
+    scan = N._scanned(cells, spark.sparkContext.broadcast(frame), wanted, 3, False)
+    scan.explain("formatted")
+    assert "PartitionFilters: [isnotnull(cell" in capsys.readouterr().out
+    items_of = {r.item_id for r in cells.table.where(f"cell = {cells.ids[4]}").collect()}
+    assert {r.item_id for r in scan.collect()} <= items_of
+
+
+def test_cells_of_nothing(spark):
+    items, reqs, _, _ = dense_fixture(spark, np.random.default_rng(7), False)
+    none = N.build_cells(items.where("false"))
+    assert N.search_cells(none, reqs, 3).count() == 0
+    bare = N.build_cells(items.where("vector is null"))
+    assert N.search_cells(bare, reqs, 3).groupBy("request_id").count().where("count >= 3").count() == 30
+    assert N.search_cells(N.build_cells(items), reqs.where("false"), 3).count() == 0
+
+
 # ---------------------------------------------------------------- sources
 
 
