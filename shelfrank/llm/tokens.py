@@ -13,8 +13,9 @@ import os
 import re
 from array import array
 
-# Entries of the caches of a Python worker, about 200 bytes each.
-CACHE_WORDS, CACHE_CHUNKS = 700_000, 100_000
+# Entries of each generation of a worker's caches, about 200 bytes each. A full cache becomes
+# the older one; what is met again moves on, so frequent words are never encoded anew.
+CACHE_WORDS, CACHE_CHUNKS = 150_000, 25_000
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict = {}
 # One word of Latin letters: a single piece for either tokenizer, so its model alone decides.
@@ -48,6 +49,7 @@ class Encoder:
         self.plain: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, dict[str, bytes]] = {"plain": {}, "chunks": {}, "pieces": {}}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
@@ -58,7 +60,7 @@ class Encoder:
         ]
         self.learn_plain(set().union(*(parts[1:] for doc in split for t, parts in doc if t is not None)))
         other = set().union(*(parts[1:] for doc in split for t, parts in doc if t is None))
-        self.learn([c for c in other.difference(self.chunks) if is_plain(c)])
+        self.learn([c for c in self.unknown("chunks", other) if is_plain(c)])
         found = []
         for doc, cut in zip(runs, split, strict=True):
             ids = []
@@ -67,16 +69,23 @@ class Encoder:
                 row[0] = self.direct(parts[0])
                 ids.append(self.beside_white(text) if None in row else b"".join(row))
             found.append(self.line_end.join(ids))
-        for cache, size in (
-            (self.plain, CACHE_WORDS), (self.chunks, CACHE_CHUNKS), (self.pieces, CACHE_CHUNKS)
-        ):
-            if len(cache) > size:
-                cache.clear()
+        for name, size in (("plain", CACHE_WORDS), ("chunks", CACHE_CHUNKS), ("pieces", CACHE_CHUNKS)):
+            if len(getattr(self, name)) > size:
+                self.older[name] = getattr(self, name)
+                setattr(self, name, {})
         return found
 
+    def unknown(self, name: str, parts: set[str]) -> set[str]:
+        """Those of ``parts`` that neither generation of a cache has; older ones move on."""
+        cache, older = getattr(self, name), self.older[name]
+        new = parts.difference(cache)
+        met = new.intersection(older)
+        cache.update((p, older[p]) for p in met)
+        return new.difference(met)
+
     def learn_plain(self, parts: set[str]) -> None:
         """Puts words (each after a blank, or after a line end) and stops into the cache."""
-        new = list(parts.difference(self.plain))
+        new = list(self.unknown("plain", parts))
         lines = [p for p in new if p[0] == "\n"]
         words = [p for p in new if p[0] not in "\n.,"]
         for p, ids in zip(words, self.ids_of_words([" " + w for w in words]), strict=True):
@@ -90,7 +99,7 @@ class Encoder:
     def beside_white(self, text: str) -> bytes:
         """Ids of a text with blanks beside white space, which stay inside their chunks."""
         head, *rest = _SAFE_BLANK.split(text)
-        self.learn([p for p in set(rest).difference(self.chunks) if is_plain(p) and " " not in p])
+        self.learn([p for p in self.unknown("chunks", set(rest)) if is_plain(p) and " " not in p])
         return self.direct(head) + b"".join(
             self.chunks[p] if p in self.chunks else self.direct(" " + p) for p in rest
         )
@@ -104,7 +113,7 @@ class Encoder:
         for chunk in chunks:
             simple = _WORD_AND_STOP(chunk)
             cut[chunk] = (" " + simple[1], simple[2]) if simple else pieces_of_chunk(" " + chunk)
-        new = {p for pieces in cut.values() for p in pieces}.difference(self.pieces)
+        new = self.unknown("pieces", {p for pieces in cut.values() for p in pieces})
         new.discard("")
         words, other = [], []
         for piece in new:
