@@ -20,6 +20,8 @@ from shelfrank.operators import ranking as R
 from shelfrank.operators import training as G
 from shelfrank.plans import fixtures as D
 from shelfrank.plans import q_ranking
+from shelfrank.runtime import new_folder
+from shelfrank.sources import model_store as MS
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -85,6 +87,14 @@ def main() -> None:
         run(P.local_answer(H.chat_requests(chats), rows))
 
     timed("assistant_all_turns", assistant)
+    root = new_folder(spark, "bench_model")
+    timed("save_model", lambda: MS.save_model(model, catalog, root))
+
+    def reopen():
+        opened = MS.open_model(spark, root, SHOP, catalog)
+        return R.recommend(opened, one, 5).collect()
+
+    timed("reopen_and_recommend_one", reopen)
     timed("build_catalog", lambda: run(E.build_catalog(D.raw_items(spark, SF_DIR))))
     timed("top_facets", lambda: run(P.top_facets(catalog, "tags", 160)))
     timed("training_rows", lambda: run(G.instruction_rows(G.training_candidates(catalog))))
