@@ -32,6 +32,7 @@ from shelfrank.operators import blocks as B
 from shelfrank.operators import index as I
 from shelfrank.operators import scoring as S
 from shelfrank.operators import semantic as V
+from shelfrank.operators.titles import resolve_titles
 from shelfrank.runtime import (
     BROADCAST_ROWS,
     broadcast_if_small,
@@ -520,69 +521,6 @@ def browse(items: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
     ).limit(k)
 
 
-def _grams(norm: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(norm) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(norm, i, F.lit(size))))
-
-
-GRAM = 3
-
-
-def resolve_titles(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(case_id, item_id): the first candidate title with a hit decides.
-
-    ``candidates``: case_id, candidate_no, title. An exact match beats a substring
-    match of the same candidate; ties go to the earliest item. A title holding the
-    wanted text holds its rarest 3-gram, so substring search is an equi-join on
-    that gram plus a check; shorter wanted texts use grams of their own length.
-    """
-    wanted = candidates.select(
-        "case_id", "candidate_no", X.ascii_normalise(F.col("title")).alias("wanted")
-    )
-    titles = catalog.select(
-        "item_id", "catalog_pos", X.ascii_normalise(F.col("title")).alias("norm")
-    )
-    # Equal titles give equal hits: only the earliest item of each can win.
-    first = titles.groupBy("norm").agg(F.min(F.struct("catalog_pos", "item_id")).alias("hit"))
-    distinct = wanted.select("wanted").distinct()
-    size = F.least(F.length("wanted"), F.lit(GRAM))
-    sizes = range(GRAM + 1)
-    title_grams = first.select(
-        "norm",
-        "hit",
-        F.explode(
-            F.concat(F.array(F.lit("")), *[_grams(F.col("norm"), n) for n in sizes if n])
-        ).alias("gram"),
-    )
-    wanted_grams = distinct.select(
-        "wanted",
-        F.explode(
-            F.when(size == 0, F.array(F.lit("")))
-            .when(size == 1, _grams(F.col("wanted"), 1))
-            .when(size == 2, _grams(F.col("wanted"), 2))
-            .otherwise(_grams(F.col("wanted"), 3))
-        ).alias("gram"),
-    )
-    frequency = title_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = (
-        wanted_grams.join(frequency, "gram", "left")
-        .groupBy("wanted")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    )
-    hits = (
-        title_grams.join(broadcast_if_small(rarest), "gram")
-        .where(F.contains(F.col("norm"), F.col("wanted")))
-        .groupBy("wanted")
-        .agg(F.min(F.struct((F.col("norm") != F.col("wanted")).alias("part"), "hit")).alias("best"))
-    )
-    return (
-        wanted.join(hits, "wanted")
-        .groupBy("case_id")
-        .agg(F.min(F.struct("candidate_no", "best")).alias("m"))
-        .select("case_id", F.col("m.best.hit.item_id").alias("item_id"))
-    )
-
-
 def rank_of_target(ranked: DataFrame, titles: DataFrame, pattern: str) -> DataFrame:
     """Best position of a title matching ``pattern`` among each request's results."""
     hit = F.col("title").rlike(f"(?iUd){pattern}")

@@ -407,6 +407,29 @@ def test_resolve_titles_by_brute_force(spark):
     assert got == {"c1": "0", "c2": "1", "c3": "2", "c5": "4", "c6": "5", "c7": "0"}
 
 
+def test_titles_with_hot_grams_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    # Half of all titles repeat one hot gram; picks are salted and never broadcast.
+    titles = ["".join(rng.choice(list("ab "), 12)) + f"{n % 7}" if n % 2 else "aaaa" * (n % 5) + f" {n}" for n in range(300)]
+    texts = ["aaa", "aaaa", "aaaaaaa", "a", "ab", "a b", "b 3", " 28", "aaaa 298", "zzz", "aab", "", "ba6", None]
+    texts += [t[2:9] for t in titles[:60]]
+    cat = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(titles)], "item_id string, catalog_pos bigint, title string")
+    asked = spark.createDataFrame([(f"c{n}", 0, t) for n, t in enumerate(texts)], "case_id string, candidate_no int, title string")
+    norm = [" ".join(t.split()) for t in titles]
+    want = {}
+    for n, t in enumerate(texts):
+        t = " ".join((t or "").split())
+        hits = sorted((x != t, i) for i, x in enumerate(norm) if t in x)
+        if hits:
+            want[f"c{n}"] = str(hits[0][1])
+    for options in ({}, {"rows_per_salt": 40, "broadcast_rows": 0}):
+        got = dict(listed(R.resolve_titles(asked, cat, **options), "case_id", "item_id"))
+        assert got == want
+    none = R.resolve_titles(asked, cat.limit(0))
+    assert none.collect() == []
+    assert R.resolve_titles(asked.limit(0), cat).collect() == []
+
+
 # ---------------------------------------------------------------- chat
 
 
