@@ -521,6 +521,33 @@ def browse(items: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
     ).limit(k)
 
 
+def search(
+    model: RankModel, requests: DataFrame, k: int = 10, keep: Column | None = None, **options
+) -> DataFrame:
+    """``request_id, rank, item_id, by_intent, score``: each request's list in its own order.
+
+    Requests with a query or liked items get the k best by score, reviewed items first among
+    equal scores; all others share the order of ``browse`` and have no score. ``options`` go
+    to ``recommend``.
+    """
+    asks = S.has_query() | S.has_references()
+    base = S.normalise_requests(requests).withColumn("asks", asks)
+    ranked = recommend(model, base.where("asks").drop("asks"), k, keep=keep, by_reviews=True, **options)
+    # One list of k ids, whatever the number of requests.
+    ids = [r.item_id for r in browse(model.items, k, keep).select("item_id").collect()]
+    shared = F.array(*[F.lit(x) for x in ids]).cast(f"array<{model.items.schema['item_id'].dataType.simpleString()}>")
+    plain = base.where("NOT asks").select("request_id", F.posexplode(shared).alias("place", "item_id"))
+    return ranked.select("request_id", "rank", "item_id", F.lit(True).alias("by_intent"), "score").unionByName(
+        plain.select(
+            "request_id",
+            (F.col("place") + 1).alias("rank"),
+            "item_id",
+            F.lit(False).alias("by_intent"),
+            F.lit(None).cast("double").alias("score"),
+        )
+    )
+
+
 def rank_of_target(ranked: DataFrame, titles: DataFrame, pattern: str) -> DataFrame:
     """Best position of a title matching ``pattern`` among each request's results."""
     hit = F.col("title").rlike(f"(?iUd){pattern}")

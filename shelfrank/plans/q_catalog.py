@@ -15,6 +15,7 @@ from shelfrank.plans.oracle import CTES
 from shelfrank.plans.registry import query
 from shelfrank.runtime import shared_dir
 from shelfrank.sources import catalog_io as IO
+from shelfrank.sources.catalog_job import run_catalog_job
 
 CTES["raw_items_v"] = """
 SELECT page_id AS catalog_pos, CASE WHEN page_id % 11 = 0 THEN '  ' ELSE p_name END AS name,
@@ -378,3 +379,38 @@ def _(spark, d):
     return done.join(old, "item_id").select(
         "item_id", "title", "header_image", "is_priority", "positive_ratio", "old_pos", "catalog_pos"
     )
+
+
+# The words blocked and the names put first are those of the raw items here.
+_JOB_BLOCK, _JOB_FIRST = ["promo", "tin"], ["blue", "almond"]
+_job_blocked = " OR ".join(f"contains(lower(concat_ws(' ', title, genres, tags)), {O.q(w)})" for w in _JOB_BLOCK)
+_job_first = " OR ".join(f"contains(lower(title), {O.q(w)})" for w in _JOB_FIRST)
+
+
+@query(
+    "catalog_job", "E1 E2 E3 E4 E5 E6 E7 E8 E9 E10 E11 E12 E13 E14 E15 E16 S2",
+    O.sql(
+        "SELECT item_id, title, genres, tags, md5(description) AS description_md5, release_year, positive_ratio, "
+        "coalesce(app_id, '') AS app_id, header_image, "
+        f"{_sql_url('header_image', 'app_id')} <> '' AS has_cover_image, "
+        "row_number() OVER (ORDER BY first DESC, positive_ratio DESC, old_pos) - 1 AS catalog_pos FROM ("
+        f"SELECT c.item_id, c.title, c.genres, c.tags, {_longer} AS description, c.release_year, c.positive_ratio, "
+        f"i.app_id, coalesce(i.header_image, {O.q(E.PLACEHOLDER_IMAGE)}) AS header_image, c.catalog_pos AS old_pos, "
+        f"CASE WHEN {_job_first.replace('title', 'c.title')} THEN 1 ELSE 0 END AS first FROM built_v c "
+        "LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY enrich_pos) AS rn FROM enrichment_v) WHERE rn = 1) e "
+        "ON e.name = c.title "
+        f"LEFT JOIN (SELECT * FROM (SELECT {O.strip_ws('lower(name)')} AS key, *, row_number() OVER ("
+        f"PARTITION BY {O.strip_ws('lower(name)')} ORDER BY image_pos) AS rn FROM images_v) WHERE rn = 1) i "
+        f"ON i.key = {O.strip_ws('lower(c.title)')} WHERE NOT ({_job_blocked.replace('title, genres, tags', 'c.title, c.genres, c.tags')})) "
+    ),
+)
+def _(spark, d):
+    path = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex[:8]}"
+    done = run_catalog_job(
+        D.raw_items(spark, d), D.enrichment(spark, d), D.images(spark, d), path,
+        _JOB_BLOCK, _JOB_FIRST, unrated_after=100,
+    )
+    return done.select(
+        "item_id", "title", "genres", "tags", F.md5("description").alias("description_md5"),
+        "release_year", "positive_ratio", "app_id", "header_image", "has_cover_image", "catalog_pos",
+    )

@@ -9,6 +9,7 @@ from shelfrank.operators import quality as Q
 from shelfrank.plans import fixtures as D
 from shelfrank.plans import oracle as O
 from shelfrank.plans.registry import query
+from shelfrank.runtime import write_parquet
 
 _COLUMNS = ["doc_id", "text", "lang", "quality", "toxic"]
 
@@ -139,3 +140,28 @@ def _(spark, d):
         return _rounded(Q.profile(df, ["text"], rules))
 
     return Q.before_after(profiled(before), profiled(after))
+
+
+# A profile from stored states of parts. Only the estimate of a sketch differs from the exact
+# profile; it is compared with the exact number here.
+@query(
+    "merged_profile", "Q2 Q4",
+    O.sql(
+        "SELECT indicator, subject, n_checked, CASE WHEN indicator = 'uniqueness' THEN 0 ELSE n_bad END AS n_bad, "
+        f"true AS close FROM ({_profile_sql('labelled_v')})"
+    ),
+)
+def _(spark, d):
+    rows = _labelled(spark, d)
+    parts = rows.select(*_COLUMNS, (F.col("doc_id") % 7).alias("day"))
+    rules = {"text length": F.length("text") >= 200, "quality range": Q.in_range("quality", 0, 1)}
+    states = write_parquet(Q.measured(parts, ["text"], rules, ["day"]), "profiles")
+    found = Q.profile_of(Q.merged(states))
+    exact = rows.agg(F.countDistinct("text")).scalar()
+    keys = F.col("n_checked") - F.col("n_bad")
+    unique = F.col("indicator") == "uniqueness"
+    near = F.abs(keys - exact) <= 0.04 * exact + 1
+    return found.select(
+        "indicator", "subject", "n_checked",
+        F.when(unique, 0).otherwise(F.col("n_bad")).alias("n_bad"), (~unique | near).alias("close"),
+    )

@@ -134,6 +134,22 @@ def _(spark, d):
     )
 
 
+@query(
+    "search", "R21 R22",
+    O.sql(
+        "SELECT request_id, CAST(rank AS INTEGER) AS rank, item_id, true AS by_intent, round(score, 6) AS score FROM ("
+        f"{O.ranked('scored_v', 10, 'release_year >= 1990', by_reviews=True)}) WHERE request_id NOT IN ('none') "
+        "UNION ALL SELECT 'none', CAST(row_number() OVER (ORDER BY has_reviews DESC, round(adj, 6) DESC, release_year DESC, catalog_pos) AS INTEGER) AS rank, "
+        "item_id, false, NULL FROM (SELECT *, CASE WHEN positive_ratio <= 97 THEN positive_ratio ELSE 97 - (positive_ratio - 97) END AS adj "
+        "FROM items_v WHERE release_year >= 1990) QUALIFY rank <= 10"
+    ),
+)
+def _(spark, d):
+    keep = F.col("release_year") >= 1990
+    found = R.search(C.model(spark, d), D.requests(spark, d), 10, keep)
+    return found.select("request_id", "rank", "item_id", "by_intent", *_r("score"))
+
+
 CTES["cases_v"] = """
 SELECT concat('case', CAST(b.item_id AS VARCHAR)) AS case_id, CASE WHEN b.item_id % 2 = 0 THEN b.text ELSE '' END AS query,
   CASE b.item_id % 4 WHEN 0 THEN [upper(p_name)] WHEN 1 THEN [substr(p_name, 2, 5)]

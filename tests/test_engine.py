@@ -18,6 +18,7 @@ from shelfrank.operators import chat as H
 from shelfrank.operators import etl as E
 from shelfrank.operators import explain as P
 from shelfrank.operators import index as I
+from shelfrank.operators import quality as Q
 from shelfrank.operators import ranking as R
 from shelfrank.operators import scoring as S
 from shelfrank.operators import semantic as V
@@ -28,6 +29,7 @@ from shelfrank.runtime import write_parquet
 from shelfrank.sources import catalog_io as IO
 from shelfrank.sources import model_store as MS
 from shelfrank.sources import versions
+from shelfrank.sources.catalog_job import run_catalog_job
 
 
 @pytest.fixture(scope="module")
@@ -430,6 +432,74 @@ def test_titles_with_hot_grams_by_brute_force(spark):
     assert R.resolve_titles(asked.limit(0), cat).collect() == []
 
 
+def test_search_lists_requests_without_intent_in_browse_order(spark, model):
+    rows = [("q", "blue bolt", None), ("l", None, ["3"]), ("n1", " ", None), ("n2", None, [])]
+    reqs = spark.createDataFrame(rows, "request_id string, query string, reference_ids array<string>")
+    got = listed(R.search(model, reqs, 5), "request_id", "rank", "item_id", "by_intent")
+    plain = [r.item_id for r in R.browse(model.items, 5).collect()]
+    for n in ("n1", "n2"):
+        assert [r[2:] for r in got if r[0] == n] == [(i, False) for i in plain]
+    alone = R.recommend(model, reqs.where("request_id IN ('q', 'l')"), 5, by_reviews=True)
+    assert [r[:3] for r in got if r[3]] == listed(alone, "request_id", "rank", "item_id")
+    assert R.search(model, reqs.limit(0), 5).collect() == []
+    assert R.search(model, reqs, 5, keep=F.lit(False)).collect() == []
+
+
+def test_catalog_job_replaces_a_catalogue_it_reads(spark, tmp_path):
+    raw = [
+        (0, "Low", 1.0, "2001", "a description of some length", "", "x", "", ""),
+        (1, "Top", 5.0, "2002", "short", "rpg", "y", "", ""),
+        (2, "top", 4.0, "2003", "another description, long enough", "", "z", "", ""),
+        (3, "Bad word", 5.0, "2003", "another description, long enough", "", "z", "", ""),
+        (4, "First one", 2.0, None, "another description, long enough", "", "z", "", ""),
+        (5, None, 5.0, "2003", "without a name it is not usable", "", "z", "", ""),
+    ]
+    raw = spark.createDataFrame(raw, "catalog_pos bigint, name string, rating double, released string, description string, tags string, genres string, developers string, publishers string")
+    extra = spark.createDataFrame([("Top", "s" * 120, 0), ("Top", "t" * 130, 1)], "name string, summary string, enrich_pos int")
+    images = spark.createDataFrame([(" LOW ", "7", None, 0)], "name string, appID string, header_image string, image_pos int")
+    path = str(tmp_path / "catalog")
+    first = run_catalog_job(raw, extra, images, path, ["BAD"], ["first"])
+    want = [(0, "First one"), (1, "Top"), (2, "Low")]
+    # Titles that differ in case only share an id; the better rated one stays.
+    assert listed(first, "catalog_pos", "title") == want
+    by_title = {r.title: r for r in first.collect()}
+    assert by_title["Top"].description == "s" * 120 and by_title["Low"].app_id == "7"
+    again = run_catalog_job(raw, extra.limit(0), images.limit(0), path, ["BAD"], ["first"], k=10)
+    assert listed(again, "catalog_pos", "title") == want
+    assert {r.title: r.description for r in again.collect()}["Top"] == "short"
+    assert run_catalog_job(raw.limit(0), extra, images, path).count() == 0
+
+
+# ---------------------------------------------------------------- quality
+
+
+def test_profile_reads_its_table_once_and_merges(spark):
+    rows = [(n % 40 if n % 9 else None, f"v{n % 50}" if n % 4 else None, float(n), n % 3) for n in range(900)]
+    df = spark.createDataFrame(rows, "n int, t string, x double, day int")
+    df = write_parquet(df, "profiled")
+    rules = {"x range": Q.in_range("x", 0, 500), "t form": Q.matches("t", "^v[0-4]")}
+    keys = ["n", "t"]
+    got = listed(Q.profile(df, keys, rules), "indicator", "subject", "n_checked", "n_bad", "good_percent")
+    apart = Q.completeness(df).unionByName(Q.uniqueness(df, keys)).unionByName(Q.validity(df, rules))
+    assert got == listed(apart, "indicator", "subject", "n_checked", "n_bad", "good_percent")
+    plan = Q.profile(df, keys, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+    slim = df.drop("day")
+    distinct = len({r[:2] for r in rows})
+    for states in (Q.measured(slim, keys, rules), Q.merged(Q.measured(df, keys, rules, ["day"]))):
+        # Counters are exact however the table was cut, the distinct keys within the sketch's error.
+        state = {(r.indicator, r.subject): r for r in Q.profile_of(states).collect()}
+        for r in Q.profile(slim, keys, rules).collect():
+            one = state[r.indicator, r.subject]
+            assert one.n_checked == r.n_checked
+            if r.indicator != "uniqueness":
+                assert one.n_bad == r.n_bad
+        assert abs(900 - state["uniqueness", "n+t"].n_bad - distinct) <= 0.04 * distinct
+    empty = {(r.indicator, r.subject): r for r in Q.profile(df.limit(0), keys, rules).collect()}
+    assert all((r.n_checked, r.n_bad, r.good_percent) == (0, 0, 0.0) for r in empty.values())
+    assert Q.profile_of(Q.measured(df.limit(0), keys, rules)).where("n_checked + n_bad > 0").count() == 0
+
+
 # ---------------------------------------------------------------- chat
 
 
