@@ -182,20 +182,66 @@ def count_terms(features: DataFrame, lexicon: Lexicon, low: int = 1, high: int =
     )
 
 
+# Counts above this many rows have their vocabulary found through cells, of which so many.
+DIRECT_ROWS = 50_000_000
+CELLS = 1 << 20
+
+
+def term_totals(counts: DataFrame) -> DataFrame:
+    """``term, df_*, ctf_*`` of every term."""
+    totals = [
+        f
+        for kind in KINDS
+        for f in (
+            F.count_if(F.col(f"tf_{kind}") > 0).alias(f"df_{kind}"),
+            F.sum(f"tf_{kind}").alias(f"ctf_{kind}"),
+        )
+    ]
+    return counts.groupBy("term").agg(*totals)
+
+
+def frequent_totals(counts: DataFrame, k: int, min_df: int = 1, cells: int = CELLS) -> DataFrame:
+    """``term_totals`` of a few terms, among them the ``k`` with the largest count of each kind.
+
+    Terms are hashed into cells, and a cell's sum is at least the count of any term in it. The
+    terms of the k largest cells are counted; the k-th of those is at most the k-th of all, so
+    cells with a smaller sum hold none of the k. Only terms of the others are shuffled; if the
+    counts are too even for that, these are all terms. Exact in any case.
+    """
+    cell = F.pmod(F.xxhash64("term"), F.lit(cells)).cast("int")
+    marked = counts.withColumn("cell", cell)
+    sums = marked.groupBy("cell").agg(*[F.sum(f"tf_{x}").alias(f"sum_{x}") for x in KINDS])
+    sums = write_parquet(sums, "cells")
+
+    def within(wanted: DataFrame) -> DataFrame:
+        # At most ``cells`` numbers.
+        return term_totals(marked.join(F.broadcast(wanted.select("cell").distinct()), "cell", "left_semi"))
+
+    largest = [sums.orderBy(F.desc(f"sum_{x}"), "cell").limit(k) for x in KINDS]
+    trial = write_parquet(within(largest[0].unionByName(largest[1])), "trial-terms")
+    enough = []
+    for kind in KINDS:
+        known = trial.where((F.col(f"df_{kind}") >= min_df) & (F.col(f"df_{kind}") > 0))
+        last = known.orderBy(F.desc(f"ctf_{kind}")).offset(k - 1).limit(1).select(f"ctf_{kind}").collect()
+        enough.append(F.col(f"sum_{kind}") >= (last[0][0] if last else 1))
+    return within(sums.where(enough[0] | enough[1]))
+
+
 def vocabulary(
-    counts: DataFrame, n_items: int, max_features: int | None = MAX_FEATURES, min_df: int = 1
+    counts: DataFrame,
+    n_items: int,
+    max_features: int | None = MAX_FEATURES,
+    min_df: int = 1,
+    n_rows: int = 0,
 ) -> DataFrame:
-    """(kind, term, df, ctf, idf): the terms with the largest corpus count, or all (None)."""
-    per_term = counts.groupBy("term").agg(
-        *[
-            f
-            for kind in KINDS
-            for f in (
-                F.count_if(F.col(f"tf_{kind}") > 0).alias(f"df_{kind}"),
-                F.sum(f"tf_{kind}").alias(f"ctf_{kind}"),
-            )
-        ]
-    )
+    """(kind, term, df, ctf, idf): the terms with the largest corpus count, or all (None).
+
+    Counts of many rows (``n_rows``) are searched through cells, with the same result.
+    """
+    if max_features and n_rows > DIRECT_ROWS:
+        per_term = frequent_totals(counts, max_features, min_df)
+    else:
+        per_term = term_totals(counts)
     sides = [
         per_term.select(
             F.lit(kind).alias("kind"),
@@ -262,7 +308,7 @@ def fit(
     counts = count_terms(text_features(rows, lexicon), lexicon, low, high)
     counts = write_bucketed(counts, "counts", "item_id", buckets, "item_id")
     n_items = catalog.count()
-    vocab = write_parquet(vocabulary(counts, n_items, max_features, min_df), "vocab")
+    vocab = write_parquet(vocabulary(counts, n_items, max_features, min_df, counts.count()), "vocab")
     postings = weigh(counts, vocab, max_features)
     postings = write_bucketed(postings, "postings", "item_id", buckets, "term", "probe")
     drop_written(counts)

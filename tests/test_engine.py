@@ -73,6 +73,28 @@ def test_counts_equal_repeated_text(spark, sf_dir, ngram_range):
         assert counts[kind] == want
 
 
+@pytest.mark.parametrize(("k", "min_df", "cells"), [(5, 1, 64), (40, 3, 16), (40, 2, 1 << 20), (10_000, 1, 64)])
+def test_vocabulary_through_cells_equals_the_direct_one(spark, monkeypatch, k, min_df, cells):
+    rng = np.random.default_rng(k)
+    rows = [
+        (f"i{i}", f"t{t}", int(rng.integers(0, 4)), int(rng.integers(0, 3)))
+        for i in range(60)
+        for t in sorted({int(x) for x in rng.zipf(1.4, 40) if x < 3_000})
+    ]
+    counts = spark.createDataFrame(rows, "item_id string, term string, tf_content int, tf_opinion int")
+    counts = write_parquet(counts, "counts")
+    cols = ("kind", "term", "df", "ctf")
+    want = listed(I.vocabulary(counts, 60, k, min_df), *cols)
+    few = I.frequent_totals(counts, k, min_df, cells)
+    if (k, cells) == (5, 64):
+        assert few.count() < I.term_totals(counts).count() / 2
+    monkeypatch.setattr(I, "DIRECT_ROWS", 0)
+    monkeypatch.setattr(I, "frequent_totals", lambda *_: few)
+    assert listed(I.vocabulary(counts, 60, k, min_df, len(rows)), *cols) == want
+    monkeypatch.undo()
+    assert I.frequent_totals(counts.limit(0), k, min_df, cells).count() == 0
+
+
 def test_idf_and_vocabulary_limit(spark, model):
     row = model.index.terms("content").orderBy("term").first()
     assert math.isclose(row.idf, I.smooth_idf(model.index.n_items, row.df))
