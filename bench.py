@@ -95,7 +95,7 @@ def main() -> None:
         return R.recommend(opened, one, 5).collect()
 
     timed("reopen_and_recommend_one", reopen)
-    timed("build_catalog", lambda: run(E.build_catalog(D.raw_items(spark, SF_DIR))))
+    timed("build_catalog", lambda: run(E.build_catalog(D.raw_items(spark, SF_DIR), D.REVIEW_WORDS)))
     timed("top_facets", lambda: run(P.top_facets(catalog, "tags", 160)))
     timed("training_rows", lambda: run(G.instruction_rows(G.training_candidates(catalog))))
     docs = D.table(spark, SF_DIR, "documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,13 @@ MAX_RATING = 5.0
 MIN_DESCRIPTION = 20
 SHORT_TEXT = LONG_TEXT = 100
 
-# Words drawn for synthetic review keywords (parameters).
-GOOD_WORDS = ["masterly", "lively", "sturdy", "charming", "clever", "elegant", "reliable", "fresh"]
-BAD_WORDS = ["wobbly", "dull", "fragile", "tedious", "noisy", "awkward", "dated", "pricey"]
-MIXED_WORDS = ["plain", "compact", "quirky", "modest", "uneven", "basic", "light"]
+@dataclass(frozen=True)
+class ReviewWords:
+    """Words that synthetic review keywords are drawn from, by the rating's band."""
+
+    good: tuple[str, ...]
+    bad: tuple[str, ...]
+    mixed: tuple[str, ...]
 
 
 class ContractError(ValueError):
@@ -71,7 +76,7 @@ def reference_url(title: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.replace(title, F.lit(" "), F.lit("+")))
 
 
-def _draw(words: list[str], bucket: Column, n: int) -> Column:
+def _draw(words: tuple[str, ...], bucket: Column, n: int) -> Column:
     """The n words with the smallest hash of (bucket, word): equal bucket, equal words."""
     keyed = F.transform(
         F.array(*[F.lit(w) for w in words]),
@@ -80,16 +85,16 @@ def _draw(words: list[str], bucket: Column, n: int) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["w"])
 
 
-def synthetic_review_keywords(
-    ratio: Column, good=GOOD_WORDS, bad=BAD_WORDS, mixed=MIXED_WORDS
-) -> Column:
+def synthetic_review_keywords(ratio: Column, words: ReviewWords) -> Column:
+    """Three words: two of the band of ``ratio`` (0 to 100) and one beside it."""
     bucket = F.floor(ratio * 100).cast("string")
-    words = (
+    good, bad, mixed = words.good, words.bad, words.mixed
+    drawn = (
         F.when(ratio >= 80, F.concat(_draw(good, bucket, 2), _draw(mixed, bucket, 1)))
         .when(ratio <= 40, F.concat(_draw(bad, bucket, 2), _draw(mixed, bucket, 1)))
         .otherwise(F.concat(_draw(mixed, bucket, 2), _draw(good, bucket, 1)))
     )
-    return F.array_join(words, ", ")
+    return F.array_join(drawn, ", ")
 
 
 def prefer_longer_text(original: Column, other: Column) -> Column:
@@ -156,6 +161,7 @@ def top_k_by_quality(df: DataFrame, k: int | None = None) -> DataFrame:
 
 def clean_raw_items(
     raw: DataFrame,
+    words: ReviewWords,
     unrated_after: int | None = None,
     store_prefix: str = "https://store.example/items/",
     reference_prefix: str = "https://wiki.example/search?q=",
@@ -193,7 +199,7 @@ def clean_raw_items(
         "description",
         "release_year",
         rating_to_ratio(F.col("rating")).alias("positive_ratio"),
-        synthetic_review_keywords(F.col("rating") / MAX_RATING * 100).alias("review_keywords"),
+        synthetic_review_keywords(F.col("rating") / MAX_RATING * 100, words).alias("review_keywords"),
         F.lit(0.0).alias("price"),
         "developer",
         "publisher",
@@ -202,9 +208,9 @@ def clean_raw_items(
     )
 
 
-def build_catalog(raw: DataFrame, k: int | None = None, **options) -> DataFrame:
+def build_catalog(raw: DataFrame, words: ReviewWords, k: int | None = None, **options) -> DataFrame:
     """Clean and keep the first row per title; with ``k`` the k best."""
-    items = clean_raw_items(raw, **options)
+    items = clean_raw_items(raw, words, **options)
     return top_k_by_quality(keep_first(items, ["title"], [F.col("catalog_pos")]), k)
 
 
@@ -222,6 +228,10 @@ def merge_enrichment(catalog: DataFrame, extra: DataFrame) -> DataFrame:
     return merged.drop("summary")
 
 
+def fill_default_image(url: Column) -> Column:
+    return F.coalesce(url, F.lit(PLACEHOLDER_IMAGE))
+
+
 def title_key(title: Column) -> Column:
     return X.strip_ws(F.lower(title))
 
@@ -237,8 +247,7 @@ def add_images(catalog: DataFrame, images: DataFrame) -> DataFrame:
     one = keep_first(slim, ["title_key"], [F.col("image_pos")]).drop("image_pos")
     base = catalog.drop("app_id", "header_image")
     joined = base.withColumn("title_key", title_key(F.col("title"))).join(one, "title_key", "left")
-    image = F.coalesce("header_image", F.lit(PLACEHOLDER_IMAGE))
-    return joined.withColumn("header_image", image).drop("title_key")
+    return joined.withColumn("header_image", fill_default_image(F.col("header_image"))).drop("title_key")
 
 
 def blocklist_filter(df: DataFrame, words: list[str]) -> DataFrame:

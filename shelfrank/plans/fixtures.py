@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfrank.operators.etl import ReviewWords
+
+
+REVIEW_WORDS = ReviewWords(
+    good=("lively", "sturdy", "charming", "clever", "elegant", "reliable", "handy", "crisp", "generous", "bright"),
+    bad=("wobbly", "dull", "fragile", "noisy", "awkward", "pricey"),
+    mixed=("plain", "compact", "modest", "uneven", "light"),
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -48,9 +48,9 @@ def _draw(words, bucket, n):
 def _keywords(ratio):
     b = f"CAST(CAST(floor({ratio} * 100) AS BIGINT) AS VARCHAR)"
     return (
-        f"array_to_string(CASE WHEN {ratio} >= 80 THEN list_concat({_draw(E.GOOD_WORDS, b, 2)}, {_draw(E.MIXED_WORDS, b, 1)}) "
-        f"WHEN {ratio} <= 40 THEN list_concat({_draw(E.BAD_WORDS, b, 2)}, {_draw(E.MIXED_WORDS, b, 1)}) "
-        f"ELSE list_concat({_draw(E.MIXED_WORDS, b, 2)}, {_draw(E.GOOD_WORDS, b, 1)}) END, ', ')"
+        f"array_to_string(CASE WHEN {ratio} >= 80 THEN list_concat({_draw(D.REVIEW_WORDS.good, b, 2)}, {_draw(D.REVIEW_WORDS.mixed, b, 1)}) "
+        f"WHEN {ratio} <= 40 THEN list_concat({_draw(D.REVIEW_WORDS.bad, b, 2)}, {_draw(D.REVIEW_WORDS.mixed, b, 1)}) "
+        f"ELSE list_concat({_draw(D.REVIEW_WORDS.mixed, b, 2)}, {_draw(D.REVIEW_WORDS.good, b, 1)}) END, ', ')"
     )
 
 
@@ -81,7 +81,7 @@ WHERE rn = 1
 
 def _built(spark, d):
     # The test source is small, so the position rule starts at 100 here.
-    return E.build_catalog(D.raw_items(spark, d), unrated_after=100)
+    return E.build_catalog(D.raw_items(spark, d), D.REVIEW_WORDS, unrated_after=100)
 
 
 _ROW = "item_id, title, genres, tags, md5(description) AS description_md5, release_year, positive_ratio, price, coalesce(developer, '') AS developer, review_keywords, sentiment_score"
@@ -164,7 +164,7 @@ def _(spark, d):
 
 @query("usable_items", "E4", O.sql("SELECT catalog_pos, title, md5(description) AS description_md5, positive_ratio, release_year FROM usable_v"))
 def _(spark, d):
-    return E.clean_raw_items(D.raw_items(spark, d), unrated_after=100).select(
+    return E.clean_raw_items(D.raw_items(spark, d), D.REVIEW_WORDS, unrated_after=100).select(
         "catalog_pos", "title", F.md5("description").alias("description_md5"), "positive_ratio", "release_year"
     )
 
@@ -181,7 +181,7 @@ def _(spark, d):
     O.sql("SELECT catalog_pos, url_store, url_ref FROM usable_v"),
 )
 def _(spark, d):
-    return E.clean_raw_items(D.raw_items(spark, d), unrated_after=100).select(
+    return E.clean_raw_items(D.raw_items(spark, d), D.REVIEW_WORDS, unrated_after=100).select(
         "catalog_pos", "url_store", "url_ref"
     )
 
@@ -192,7 +192,7 @@ def _(spark, d):
 )
 def _(spark, d):
     return D.catalog(spark, d).select(
-        "item_id", E.synthetic_review_keywords(F.col("positive_ratio")).alias("words")
+        "item_id", E.synthetic_review_keywords(F.col("positive_ratio"), D.REVIEW_WORDS).alias("words")
     )
 
 
@@ -286,7 +286,7 @@ def _(spark, d):
 )
 def _(spark, d):
     return D.images(spark, d).select(
-        "image_pos", F.coalesce("header_image", F.lit(E.PLACEHOLDER_IMAGE)).alias("header_image")
+        "image_pos", E.fill_default_image(F.col("header_image")).alias("header_image")
     )
 
 
@@ -408,7 +408,7 @@ def _(spark, d):
     path = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex[:8]}"
     done = run_catalog_job(
         D.raw_items(spark, d), D.enrichment(spark, d), D.images(spark, d), path,
-        _JOB_BLOCK, _JOB_FIRST, unrated_after=100,
+        D.REVIEW_WORDS, _JOB_BLOCK, _JOB_FIRST, unrated_after=100,
     )
     return done.select(
         "item_id", "title", "genres", "tags", F.md5("description").alias("description_md5"),

@@ -13,6 +13,7 @@ def run_catalog_job(
     enrichment: DataFrame,
     images: DataFrame,
     path: str,
+    words: E.ReviewWords,
     blocklist: list[str] = (),
     priority: list[str] = (),
     k: int | None = None,
@@ -21,11 +22,11 @@ def run_catalog_job(
     """Clean, keep one row per title, merge summaries and images, block, order, check, replace.
 
     ``raw``, ``enrichment`` and ``images`` are as ``clean_raw_items``, ``merge_enrichment`` and
-    ``add_images`` take them; the last two may be empty. ``k`` keeps the best rows only,
+    ``add_images`` take them; the last two may be empty. Review keywords are drawn from ``words``. ``k`` keeps the best rows only,
     ``options`` go to ``clean_raw_items``. The catalogue at ``path`` is replaced as a whole, and
     only after all of it is written; the result reads it back.
     """
-    items = E.build_catalog(raw, k, **options)
+    items = E.build_catalog(raw, words, k, **options)
     items = E.merge_enrichment(items, enrichment)
     items = E.finish_catalog(items, images, list(blocklist), list(priority))
     write_catalog(E.validate_contract(items), path)

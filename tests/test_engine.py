@@ -480,16 +480,16 @@ def test_catalog_job_replaces_a_catalogue_it_reads(spark, tmp_path):
     extra = spark.createDataFrame([("Top", "s" * 120, 0), ("Top", "t" * 130, 1)], "name string, summary string, enrich_pos int")
     images = spark.createDataFrame([(" LOW ", "7", None, 0)], "name string, appID string, header_image string, image_pos int")
     path = str(tmp_path / "catalog")
-    first = run_catalog_job(raw, extra, images, path, ["BAD"], ["first"])
+    first = run_catalog_job(raw, extra, images, path, D.REVIEW_WORDS, ["BAD"], ["first"])
     want = [(0, "First one"), (1, "Top"), (2, "Low")]
     # Titles that differ in case only share an id; the better rated one stays.
     assert listed(first, "catalog_pos", "title") == want
     by_title = {r.title: r for r in first.collect()}
     assert by_title["Top"].description == "s" * 120 and by_title["Low"].app_id == "7"
-    again = run_catalog_job(raw, extra.limit(0), images.limit(0), path, ["BAD"], ["first"], k=10)
+    again = run_catalog_job(raw, extra.limit(0), images.limit(0), path, D.REVIEW_WORDS, ["BAD"], ["first"], k=10)
     assert listed(again, "catalog_pos", "title") == want
     assert {r.title: r.description for r in again.collect()}["Top"] == "short"
-    assert run_catalog_job(raw.limit(0), extra, images, path).count() == 0
+    assert run_catalog_job(raw.limit(0), extra, images, path, D.REVIEW_WORDS).count() == 0
 
 
 # ---------------------------------------------------------------- quality
@@ -703,8 +703,8 @@ def test_keep_first_and_keywords_are_stable(spark):
     got = {(r.k, r.v) for r in E.keep_first(df, ["k"], [F.col("o")]).collect()}
     assert got == {("a", "y"), (None, "x")}
     ratios = spark.range(0, 101).select(F.col("id").cast("double").alias("r"))
-    words = ratios.select("r", E.synthetic_review_keywords(F.col("r")).alias("w")).collect()
+    words = ratios.select("r", E.synthetic_review_keywords(F.col("r"), D.REVIEW_WORDS).alias("w")).collect()
     for r in words:
         parts = r.w.split(", ")
-        pools = (E.GOOD_WORDS, 2) if r.r >= 80 else (E.BAD_WORDS, 2) if r.r <= 40 else (E.MIXED_WORDS, 2)
+        pools = (D.REVIEW_WORDS.good, 2) if r.r >= 80 else (D.REVIEW_WORDS.bad, 2) if r.r <= 40 else (D.REVIEW_WORDS.mixed, 2)
         assert len(parts) == 3 and all(p in pools[0] for p in parts[:2])
