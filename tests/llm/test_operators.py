@@ -527,6 +527,56 @@ def test_chains_are_linked(spark):
     assert pairs == {p for k in (0, 21, 36, 37) for p in ((10 * k + 1, 10 * k), (10 * k + 2, 10 * k + 1))}
 
 
+def linked_documents(found):
+    """All pairs of documents that the rows of ``near_passages`` link."""
+    classes = {}
+    for r in found:
+        if r.similarity == 1:
+            classes.setdefault((r.other_id, r.other_start, r.other_words), {r.other_id}).add(r.doc_id)
+
+    def alike(doc, start, words):
+        inside = [m for (d, s, n), m in classes.items() if d == doc and s <= start and start + words <= s + n]
+        return {doc}.union(*inside)
+
+    pairs = {(x, y) for m in classes.values() for x in m for y in m if x > y}
+    for r in found:
+        for x in alike(r.doc_id, r.start, r.n_words):
+            for y in alike(r.other_id, r.other_start, r.other_words):
+                pairs |= {(max(x, y), min(x, y))} if x != y else set()
+    return pairs
+
+
+def test_no_link_of_two_texts_is_left_out(spark):
+    rng = random.Random(29)
+
+    def text(n):
+        return ["".join(rng.choices("abcdefghijk", k=6)) for _ in range(n)]
+
+    rows, want = [], set()
+
+    def plant(passages):
+        """Texts with a passage each; their pairs by the Jaccard similarity of whole passages."""
+        ids = list(range(len(rows), len(rows) + len(passages)))
+        rows.extend((i, " ".join(text(25) + p + text(25))) for i, p in zip(ids, passages, strict=True))
+        sets = [{tuple(p[k : k + 5]) for k in range(len(p) - 4)} for p in passages]
+        for x in range(len(ids)):
+            for y in range(x):
+                if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                    want.add((ids[x], ids[y]))
+
+    for _ in range(4):
+        base = text(98)
+        edit = lambda *places: [f"other{len(rows)}" if n in places else w for n, w in enumerate(base)]  # noqa: E731, B023
+        plant([edit(), edit(49), edit(30), edit()])
+        plant([edit(48), edit(50), edit(49), edit(48)])
+    base = text(60)
+    plant([base] * 4)
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert want <= linked_documents(found)
+    # One edit each in 98 words: later texts were linked to the first only.
+    assert (2, 1) in want
+
+
 def test_passages_near_the_threshold(spark):
     rng = random.Random(17)
 
