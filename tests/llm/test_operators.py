@@ -575,6 +575,9 @@ def test_no_link_of_two_texts_is_left_out(spark):
     assert want <= linked_documents(found)
     # One edit each in 98 words: later texts were linked to the first only.
     assert (2, 1) in want
+    # The equal words and the passage around them are both rows.
+    both = {(r.n_words >= 98, r.similarity == 1) for r in found if (r.doc_id, r.other_id) == (2, 0)}
+    assert both >= {(False, True), (True, False)}
 
 
 def test_passages_near_the_threshold(spark):
