@@ -12,8 +12,7 @@ a pair of lower rank: then the next steps would take just these. So a word of ma
 pairs takes few steps. The recursion keeps all its steps, so this query takes a bounded number
 of bytes and steps, and words that aren't finished go on in the next one from where they are.
 
-*Decoding.* Rows (text, position, id) are joined with the tokens' bytes, put together by an
-ordered aggregate.
+*Decoding.* The tokens' bytes are looked up and put together in order.
 
 DuckDB lives in the task's process, with one thread, a memory limit and no folder to spill to.
 Rows are worked on alone: nothing is shuffled, and lost tasks are run again.
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from shelfrank.llm.common import text_blocks
 
 BLOCK_BYTES = 1 << 20
-# Of a query: bytes of words (a longer word is alone), rows of all its steps, ids decoded.
+# Of a query: bytes of words (a longer word is alone), rows of all its steps. Ids decoded at once.
 WORD_BYTES, STEP_ROWS, DECODE_IDS = 1 << 17, 1 << 20, 250_000
 SHORT, STEPS = 64, 24
 # Words of each of a worker's two caches, about 200 bytes each.
@@ -137,12 +136,6 @@ DELETE FROM state;
 INSERT INTO state SELECT word, pos, id FROM walked WHERE step = $steps;
 """
 
-DECODE = """
-SELECT doc, string_agg(body, '' ORDER BY pos) AS body
-FROM coded JOIN token USING (id) GROUP BY doc ORDER BY doc
-"""
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
@@ -160,6 +153,7 @@ class Coder:
 
         self.find = regex.compile(pattern).findall
         self.whole = {body: np.array([i], "<u4").tobytes() for body, i in ranks.items()}
+        self.bodies = {i: body for body, i in ranks.items()}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.db = duckdb.connect(
@@ -217,24 +211,15 @@ class Coder:
             self.db.execute(GO_ON.replace("$steps", steps))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        code = np.frombuffer(b"".join(ids), "<u4")
-        found: list[list[bytes]] = [[] for _ in ids]
-        for a in range(0, len(code), DECODE_IDS):
-            part = slice(a, a + DECODE_IDS)
-            n = len(code[part])
-            self.put(
-                "coded",
-                doc=pa.array(doc[part], pa.int32()),
-                pos=pa.array(np.arange(n), pa.int32()),
-                id=pa.array(code[part], pa.int32()),
-            )
-            rows = self.db.sql(DECODE).to_arrow_table()
-            for at, body in zip(rows["doc"].to_pylist(), rows["body"].to_pylist(), strict=True):
-                found[at].append(body.encode("latin-1"))
-        return [b"".join(parts) for parts in found]
+        """The bytes of each list of ids; ids that no token has are left out."""
+        return [b"".join(map(self.bytes_of, parts_of(x, 4 * DECODE_IDS))) for x in ids]
+
+    def bytes_of(self, ids: bytes) -> bytes:
+        return b"".join(filter(None, map(self.bodies.get, np.frombuffer(ids, "<u4").tolist())))
+
+
+def parts_of(data: bytes, size: int) -> Iterable[bytes]:
+    return (data[a : a + size] for a in range(0, len(data), size))
 
 
 def letters(bodies: Iterable[bytes]) -> pa.Array:

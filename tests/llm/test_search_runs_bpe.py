@@ -288,6 +288,17 @@ def test_bpe_goes_on_over_queries_and_caches(own_tiktoken, monkeypatch):
         assert own.decode(ids) == [t.encode() for t in texts]
 
 
+def test_bpe_decodes_without_queries(monkeypatch):
+    own = bpe.Coder(RANKS, public_tokenizers.PATTERN)
+    texts = ["one two\n", "", "é" * 30, "\x00 ok"]
+    ids = own.encode(texts)
+    own.db.close()
+    monkeypatch.setattr(bpe, "DECODE_IDS", 3)
+    assert own.decode(ids) == [t.encode() for t in texts]
+    unknown = np.array([1 << 20], "<u4").tobytes()
+    assert own.decode([unknown + ids[0], unknown]) == [b"one two\n", b""]
+
+
 def test_bpe_tables(spark, edge_rows, edge_docs, no_docs, own_tiktoken, sf_dir):
     coded = bpe.encode(edge_docs, RANKS, public_tokenizers.PATTERN)
     got = bpe.decode(coded, RANKS, public_tokenizers.PATTERN).collect()
