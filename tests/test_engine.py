@@ -422,6 +422,35 @@ def test_similar_items_with_many_copies(spark):
         assert got[a] == [str(b) for _, b in sorted(scores)[:4]], a
 
 
+def test_similar_items_store_each_row_once(spark):
+    rng = np.random.default_rng(3)
+    weights = {f"i{n}": {f"t{t}": float(t % 5 + 1) / 5 for t in rng.choice(30, 4, False).tolist()} for n in range(60)}
+    rows = [(i, t, w) for i, ts in weights.items() for t, w in ts.items()]
+    table = spark.createDataFrame(rows, "item_id string, term string, w double")
+
+    class Index:
+        side = staticmethod(lambda name: table)
+        terms = staticmethod(lambda name: table.select("term").distinct())
+
+    items = spark.createDataFrame([(i, n) for n, i in enumerate(weights)], "item_id string, catalog_pos bigint")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        result = similar.similar_items_all(Index, items, 3, block_items=7)
+        got = listed(result, "item_id", "similar_id")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    place = {i: n for n, i in enumerate(weights)}
+    wanted = []
+    for a in weights:
+        scores = {b: round(sum(w * weights[b].get(t, 0) for t, w in weights[a].items()), 9) for b in weights if b != a}
+        best = sorted((b for b in scores if scores[b] > 0), key=lambda b: (-scores[b], place[b]))[:3]
+        wanted += [(a, b) for b in best]
+    assert sorted(got) == sorted(wanted)
+    plan = result._jdf.queryExecution().toString()
+    assert "Cogroup" not in plan and "CoGroup" not in plan and "sequence(" not in plan
+
+
 def test_resolve_titles_by_brute_force(spark):
     titles = ["Blue Bolt", "blue bolt x", "Ré", "a", "Zed 12", "", "blue bolt"]
     cat = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(titles)], "item_id string, catalog_pos bigint, title string")
