@@ -186,6 +186,41 @@ def test_graph_reaches_all_nodes():
     assert sorted(graph.search(np.append(v[0], 0).astype(np.float32), 64)) == list(range(64))
 
 
+def test_walks_side_by_side_find_what_single_walks_find():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 16))
+    graph = hnsw.Graph(hnsw.lifted(v), hnsw.levels_of(v)).build()
+    q = np.hstack([v[:40], np.zeros((40, 1))]).astype(np.float32)
+    together = graph.search_all(q, 60)
+    for one, row in zip(q, together, strict=True):
+        assert graph.search(one, 60) == row[row >= 0].tolist()
+    exact = np.argsort(-(v[:40] @ v.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(exact, together, strict=True)]) >= 0.95
+    # Links lead to other nodes, and to each but once (the ring's may be among them).
+    low = [row[row >= 0].tolist() for row in graph.low[:, 1:]]
+    assert all(i not in row and len(set(row)) == len(row) for i, row in enumerate(low))
+
+
+def test_queries_read_all_shards_and_copy_none(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(600, 8)).astype(np.float32)
+    rows = vectors(spark, [(i, x.tolist(), None, "k") for i, x in enumerate(v)])
+    every = hnsw.usable(rows, "vec_id", "embedding").drop("id")
+    index = hnsw.build_index(every, shard_rows=100)
+    assert index.count() == 6
+    hits = hnsw.shard_hits(index, every.limit(50), 20, 100)
+    # Per query one merged list instead of one per shard.
+    assert hits.groupBy("query").count().where("count <> 20").count() == 0
+    known = {r.key: np.array(r.vec) for r in every.collect()}
+    keys = list(known)
+    matrix = np.stack(list(known.values()))
+    found = defaultdict(set)
+    for r in hits.collect():
+        found[r["query"]].add(r.key)
+    recall = [len(got & {keys[i] for i in np.argsort(-(matrix @ known[q]))[:20]}) / 20 for q, got in found.items()]
+    assert len(found) == 50 and np.mean(recall) >= 0.95
+
+
 def test_no_neighbours(spark):
     assert hnsw.nearest(vectors(spark, []), F.col("id") % 20 == 0).count() == 0
     alone = vectors(spark, [(20, [1.0, 0.0], 1, "k")])
